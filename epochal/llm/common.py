@@ -42,7 +42,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate: for a Parquet scan, the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:

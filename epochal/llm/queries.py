@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, mixing, rules, sharding
+from . import block_anchors, bpe_codec, mixing, rules, sharding
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_anchors.repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op7_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -28,5 +32,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_rule_ledger, op7_label_propagation, op8_byte_bpe, op9_mixing)}
-ORACLES = {"op4_rule_ledger": rules.ORACLE, "op9_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op4_rule_ledger, op5_block_anchors, op7_label_propagation, op8_byte_bpe, op9_mixing)}
+ORACLES = {"op4_rule_ledger": rules.ORACLE, "op5_block_anchors": block_anchors.ORACLE, "op9_mixing": mixing.ORACLE}
