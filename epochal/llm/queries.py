@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, bpe_codec, mixing, rules, sharding
+from . import block_anchors, bpe_codec, mixing, prefix_free, rules, sharding
 from .common import table
 
 
+def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
 
@@ -32,5 +36,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_rule_ledger, op5_block_anchors, op7_label_propagation, op8_byte_bpe, op9_mixing)}
-ORACLES = {"op4_rule_ledger": rules.ORACLE, "op5_block_anchors": block_anchors.ORACLE, "op9_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_prefix_free_parsing, op4_rule_ledger, op5_block_anchors, op7_label_propagation, op8_byte_bpe, op9_mixing)}
+ORACLES = {"op3_prefix_free_parsing": prefix_free.ORACLE, "op4_rule_ledger": rules.ORACLE, "op5_block_anchors": block_anchors.ORACLE, "op9_mixing": mixing.ORACLE}
