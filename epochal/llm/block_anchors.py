@@ -32,13 +32,17 @@ ANCHOR = 18
 _BYTES, _WORDS, _WORDS2 = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0x165667B19E3779F9)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class Words:
     """Places and hashes of all words of a block."""
 
-    def __init__(self, column: pa.ChunkedArray):
+    def __init__(self, column: pa.ChunkedArray, lower: bool = False):
         self.data, self.off = raw(column)
+        if lower:
+            self.data = _LOWER[self.data]
         n = len(self.data)
         solid = ~_SPACE[self.data]
         first = np.zeros(n + 1, bool)

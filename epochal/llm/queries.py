@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, bpe_codec, mixing, prefix_free, rules, sharding
+from . import block_anchors, bpe_codec, mixing, parity_join, prefix_free, rules, sharding
 from .common import table
 
 
@@ -36,5 +36,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_prefix_free_parsing, op4_rule_ledger, op5_block_anchors, op7_label_propagation, op8_byte_bpe, op9_mixing)}
-ORACLES = {"op3_prefix_free_parsing": prefix_free.ORACLE, "op4_rule_ledger": rules.ORACLE, "op5_block_anchors": block_anchors.ORACLE, "op9_mixing": mixing.ORACLE}
+def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_prefix_free_parsing, op4_rule_ledger, op5_block_anchors, op7_label_propagation, op8_byte_bpe, op9_mixing, op10_parity_join)}
+ORACLES = {"op3_prefix_free_parsing": prefix_free.ORACLE, "op4_rule_ledger": rules.ORACLE, "op5_block_anchors": block_anchors.ORACLE, "op9_mixing": mixing.ORACLE, "op10_parity_join": parity_join.ORACLE}
