@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, bpe_codec, mixing, parity_join, prefix_free, rules, sharding
+from . import block_anchors, bpe_codec, mixing, parity_join, permutation_index, prefix_free, rules, sharding
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_anchors.repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op7_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -40,5 +44,5 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_prefix_free_parsing, op4_rule_ledger, op5_block_anchors, op7_label_propagation, op8_byte_bpe, op9_mixing, op10_parity_join)}
+QUERIES = {f.__name__: f for f in (op3_prefix_free_parsing, op4_rule_ledger, op5_block_anchors, op6_permutation_index, op7_label_propagation, op8_byte_bpe, op9_mixing, op10_parity_join)}
 ORACLES = {"op3_prefix_free_parsing": prefix_free.ORACLE, "op4_rule_ledger": rules.ORACLE, "op5_block_anchors": block_anchors.ORACLE, "op9_mixing": mixing.ORACLE, "op10_parity_join": parity_join.ORACLE}
