@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a permutation index.
 
-``PIVOTS`` vectors, a sample of fixed size in hash order of the ids, are the
+``PIVOTS`` distinct vectors, a sample of fixed size in hash order, are the
 pivots. A vector is represented by its ``PREFIX`` nearest pivots in order. The
 vectors are dealt to shards; each shard keeps an inverted file: for each pivot,
 the vectors that have it in their prefix, with its position. A query adds up,
@@ -57,7 +57,9 @@ def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
 def nearest(vectors: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, candidates: int = CANDIDATES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of the rows that ``query_filter`` (a condition on ``id``) names."""
     d = usable(vectors, id_col, vec_col)
-    chosen = d.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(pivots).select("v").collect()  # PIVOTS rows
+    h = F.xxhash64("v", F.lit(7)).alias("h")
+    least = d.select(h).distinct().orderBy("h").limit(pivots)
+    chosen = d.select(h, "v").join(F.broadcast(least), "h").groupBy("h").agg(F.first("v").alias("v")).orderBy("h").collect()  # PIVOTS rows
     anchors = unit(np.array([r["v"] for r in chosen])) if chosen else np.zeros((1, 1))
     m = min(prefix, len(anchors))
 
