@@ -54,6 +54,18 @@ def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 1))
 
 
+def copies_before(x: np.ndarray) -> np.ndarray:
+    """For each row, how many earlier rows are equal to it."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    _, group = np.unique(np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True)
+    by = np.argsort(group, kind="stable")
+    heads = np.searchsorted(group[by], group[by])
+    out = np.empty(len(x), np.int64)
+    out[by] = np.arange(len(x)) - heads
+    return out
+
+
 def nearest(vectors: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, candidates: int = CANDIDATES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of the rows that ``query_filter`` (a condition on ``id``) names."""
     d = usable(vectors, id_col, vec_col)
@@ -88,6 +100,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id"
         perm = np.frombuffer(b"".join(t.column("perm").to_pylist()), np.uint16).reshape(t.num_rows, m).astype(np.int64)
         own = np.flatnonzero(~asks)
         own = own[np.argsort(ids[own], kind="stable")]
+        own = own[copies_before(x[own]) <= k]  # k + 1 copies with smaller ids leave no place for another
         ids_x, data, px = ids[own], unit(x[own]) if len(own) else x[:0], perm[own]
         size = len(own)
         flat = px.ravel()
