@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, plan_bytes, shuffle_partitions
+from .common import BLOCK_BYTES, block_count, plan_bytes, shuffle_partitions
 
 MESSAGE = "dst int, src int, kind int, data binary"
 _ARROW = pa.schema([("dst", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -23,9 +23,9 @@ _ARROW = pa.schema([("dst", pa.int32()), ("src", pa.int32()), ("kind", pa.int32(
 BUCKET_BYTES = 16 << 20
 
 
-def as_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+def as_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """``(blk, ord, id, text)``: ``ord`` is the id, or for null ids a number behind all usual ids that depends on the text."""
-    n = block_count(docs)
+    n = block_count(docs, block_bytes)
     late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2)
     order = F.coalesce(F.col(id_col).cast("long"), late)
     d = docs.select(order.alias("ord"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))

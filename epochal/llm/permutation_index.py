@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-PIVOTS = 256
+PIVOTS = 512
 PREFIX = 64
-CANDIDATES = 1024
+CANDIDATES = 1536
 SHARD_ROWS = 8192
 QUERY_ROWS = 4096
 

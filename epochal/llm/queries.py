@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, bpe_codec, mixing, parity_join, permutation_index, prefix_free, rules, sharding
+from . import block_anchors, bpe_codec, mixing, ordinal, parity_join, permutation_index, prefix_free, rules, sharding, surrogates
 from .common import table
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fit(docs, ordinal.graded(table(spark, sf_dir, "labels")))
+    return ordinal.score_documents(docs, model)
+
+
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -44,5 +54,5 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_prefix_free_parsing, op4_rule_ledger, op5_block_anchors, op6_permutation_index, op7_label_propagation, op8_byte_bpe, op9_mixing, op10_parity_join)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_surrogates, op3_prefix_free_parsing, op4_rule_ledger, op5_block_anchors, op6_permutation_index, op7_label_propagation, op8_byte_bpe, op9_mixing, op10_parity_join)}
 ORACLES = {"op3_prefix_free_parsing": prefix_free.ORACLE, "op4_rule_ledger": rules.ORACLE, "op5_block_anchors": block_anchors.ORACLE, "op9_mixing": mixing.ORACLE, "op10_parity_join": parity_join.ORACLE}
