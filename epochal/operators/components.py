@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from ..storage import saved
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
