@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .block_anchors import Words
 from .blocks import MESSAGE, bucket_count, deal, gather, messages, same_as_previous
 from .common import Rolling, mix, saved, shuffle_partitions
-from .graph import components
+from ..operators.components import components
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100

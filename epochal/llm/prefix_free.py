@@ -46,6 +46,8 @@ from .common import Rolling, mix
 LENGTH = 100
 GRAM = 16
 REACH = 64
+#: Bytes of text in a block; a task holds some ten 8-byte numbers a byte.
+BLOCK = 5 << 19
 _ONE, _TWO, _THREE = Rolling(0x9E3779B97F4A7C15), Rolling(0xD6E8FEB86659FD93), Rolling(0xA0761D6478BD642F)
 _DEALT, _TO_BLOCK, _COVERED, _DETAIL, _WINDOW = 0, 1, 2, 3, 4
 _PLACE = (np.int64, np.uint32, np.uint32)  # order of the document, start, end
@@ -118,7 +120,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes left)."""
     if gram + reach - 1 > length:
         raise ValueError("a window must hold the grams that choose its trigger")
-    blocks, _ = as_blocks(docs, id_col, text_col)
+    blocks, _ = as_blocks(docs, id_col, text_col, BLOCK)
     buckets = bucket_count(docs, 0.6)
 
     def parse(t: pa.Table) -> pa.Table:
