@@ -1,0 +1,246 @@
+"""Queries of the workloads: accounts, orders and payments, reservations, reviews, carts."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as fn
+from ..operators import analytics as an
+from ..operators import workloads as wl
+from ..storage import table
+from . import bindings as b
+from .registry import query
+
+OPENING = 1_000_000
+
+
+def _users(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").agg(F.countDistinct("user_id").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("key")).withColumn("balance", F.lit(OPENING).cast("long"))
+
+
+def _transfers(spark: SparkSession, d: str) -> DataFrame:
+    r = b.requests(spark, d)
+    return r.filter("function = 'purchase' AND key <> other").select("t_id", F.col("key").alias("src"), F.col("other").alias("dst"))
+
+
+_BAL = "WITH " + b.SQL_REQ + ", ev AS (SELECT t_id, key, -1 AS delta FROM req WHERE function = 'purchase' AND key <> other UNION ALL SELECT t_id, other, 1 FROM req WHERE function = 'purchase' AND key <> other), bal AS (SELECT k AS key, 1000000 + coalesce((SELECT sum(delta) FROM ev WHERE ev.key = k), 0) AS value FROM (SELECT unnest(range((SELECT n FROM n))) AS k))"
+
+
+@query(_BAL + " SELECT key, CAST(value AS BIGINT) AS value FROM bal")
+def ycsb_final_balances(spark: SparkSession, d: str) -> DataFrame:
+    return wl.balances(_users(spark, d), wl.transfer_events(_transfers(spark, d)))
+
+
+@query(_BAL + " SELECT count(*) AS keys, CAST(sum(value) AS BIGINT) AS total, count(*) * 1000000 AS expected, sum(value) = count(*) * 1000000 AS consistent FROM bal")
+def ycsb_conservation(spark: SparkSession, d: str) -> DataFrame:
+    return an.conserved(ycsb_final_balances(spark, d), "value", OPENING)
+
+
+@query(_BAL + ", o AS (SELECT key, value + CASE WHEN key % 10 = 3 THEN 1 ELSE 0 END AS value FROM bal WHERE key % 10 <> 7) SELECT key, CAST(b.value AS BIGINT) AS expected, CAST(o.value AS BIGINT) AS observed, CASE WHEN o.value IS NULL THEN 'missing' WHEN b.value IS NULL THEN 'unexpected' ELSE 'wrong' END AS problem FROM bal b FULL JOIN o USING (key) WHERE o.value IS NULL OR b.value IS NULL OR o.value <> b.value")
+def ycsb_state_diff(spark: SparkSession, d: str) -> DataFrame:
+    expected = ycsb_final_balances(spark, d)
+    observed = expected.filter("key % 10 <> 7").withColumn("value", F.col("value") + F.when(F.col("key") % 10 == 3, 1).otherwise(0))
+    return an.state_diff(expected, observed)
+
+
+@query("WITH " + b.SQL_REQ + " SELECT key, count(*) AS updates, 1000000 + count(*) AS value FROM req WHERE function = 'signup' GROUP BY key")
+def ycsb_update_counts(spark: SparkSession, d: str) -> DataFrame:
+    return b.requests(spark, d).filter("function = 'signup'").groupBy("key").agg(F.count("*").alias("updates")).withColumn("value", F.col("updates") + OPENING)
+
+
+@query(_BAL + ", rd AS (SELECT request_id, key FROM req WHERE function IN ('click', 'view')) SELECT request_id, key, CAST(value AS BIGINT) AS value FROM rd JOIN bal USING (key)")
+def ycsb_point_reads(spark: SparkSession, d: str) -> DataFrame:
+    return b.requests(spark, d).filter("function IN ('click', 'view')").join(ycsb_final_balances(spark, d), "key").select("request_id", "key", "value")
+
+
+@query("WITH e AS (SELECT c_custkey AS key, o_orderkey AS t_id, -CAST(round(o_totalprice) AS BIGINT) AS delta, CAST(round(c_acctbal) AS BIGINT) * 1000 AS balance FROM orders JOIN customer ON o_custkey = c_custkey) SELECT t_id, key FROM (SELECT *, sum(delta) OVER (PARTITION BY key ORDER BY t_id) AS run FROM e) WHERE balance + run < 0")
+def overdraft_aborts(spark: SparkSession, d: str) -> DataFrame:
+    opening = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), (F.round("c_acctbal").cast("long") * 1000).alias("balance"))
+    events = table(spark, d, "orders").select(F.col("o_orderkey").alias("t_id"), F.col("o_custkey").alias("key"), (-F.round("o_totalprice").cast("long")).alias("delta"))
+    return wl.overdrafts(opening, events)
+
+
+_LINE_ORDER = ["t_id", "line", "supp", "price", "ship", "qty", "disc"]
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("t_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("ship"), F.col("l_quantity").cast("long").alias("qty"), F.col("l_discount").alias("disc"))
+
+
+_DEC = "CAST(l_extendedprice AS DECIMAL(18,2))"
+
+
+@query(f"WITH t AS (SELECT l_orderkey, sum({_DEC}) AS amount, count(*) AS n, bool_and(s_nationkey = c_nationkey) AS all_local, any_value(c_nationkey) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey) SELECT l_orderkey AS t_id, CAST(n AS BIGINT) AS lines, all_local, CAST(CAST(amount AS DECIMAL(18,2)) * (900 * (1000 + 10 * (w % 10) + 2 * (w % 5))) AS DOUBLE) / 1000000 AS total FROM t")
+def tpcc_new_order_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Lines gathered with warehouse (nation), district (region) and customer; total with discount and taxes."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("t_id"), F.col("c_nationkey").alias("w"))
+    sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("supp"), F.col("s_nationkey").alias("from_w"))
+    g = _lines(spark, d).join(o, "t_id").join(sup, "supp").groupBy("t_id").agg(F.sum(F.col("price").cast("decimal(18,2)")).alias("amount"), F.count("*").alias("lines"), F.bool_and(F.col("from_w") == F.col("w")).alias("all_local"), F.first("w").alias("w"))
+    factor = F.lit(900) * (F.lit(1000) + 10 * (F.col("w") % 10) + 2 * (F.col("w") % 5))  # discount and taxes in millionths
+    return g.select("t_id", "lines", "all_local", ((F.col("amount").cast("decimal(18,2)") * factor).cast("double") / 1_000_000).alias("total"))
+
+
+@query("SELECT o_orderkey AS t_id, CAST(c_nationkey AS BIGINT) AS district, 3001 + row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) - 1 AS o_id, 3001 + row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS d_next_o_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 100 <> 0")
+def tpcc_order_id_allocation(spark: SparkSession, d: str) -> DataFrame:
+    """One in a hundred orders aborts and takes no number."""
+    o = table(spark, d, "orders").filter("o_orderkey % 100 <> 0").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.select(F.col("o_orderkey").alias("t_id"), F.col("c_nationkey").cast("long").alias("district"), F.lit(3001).cast("long").alias("first"))
+    return wl.allocate_ids(o, "district", ["t_id"], "first").select("t_id", "district", "o_id", "d_next_o_id")
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_partkey AS item, CAST(l_quantity AS BIGINT) AS qty, l_suppkey % 2 = 1 AS remote, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount) AS rn FROM lineitem),
+r(item, rn, q) AS (SELECT p_partkey, CAST(0 AS BIGINT), CAST(p_size AS BIGINT) FROM part UNION ALL SELECT r.item, l.rn, CASE WHEN q >= qty + 10 THEN q - qty ELSE q + 91 - qty END FROM r JOIN l ON l.item = r.item AND l.rn = r.rn + 1)
+SELECT r.item, arg_max(q, r.rn) AS quantity, any_value(a.ytd) AS ytd, any_value(a.c) AS order_cnt, any_value(a.rc) AS remote_cnt FROM r JOIN (SELECT item, CAST(sum(qty) AS BIGINT) AS ytd, count(*) AS c, count(*) FILTER (remote) AS rc FROM l GROUP BY item) a ON a.item = r.item GROUP BY r.item""")
+def tpcc_stock_fold(spark: SparkSession, d: str) -> DataFrame:
+    stock = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_size").cast("long").alias("quantity"))
+    return wl.stock_fold(_lines(spark, d).withColumn("remote", F.col("supp") % 2 == 1), stock, ["t_id", "line", "supp", "price", "ship"])
+
+
+@query("SELECT l_orderkey AS t_id, l_partkey AS item, CASE WHEN p_partkey IS NULL THEN 'item missing' ELSE 'ok' END AS outcome, count(*) AS n FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 100 <> 7) ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0 GROUP BY ALL")
+def tpcc_missing_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "part").filter("p_partkey % 100 <> 7").select(F.col("p_partkey").alias("item"), F.lit("ok").alias("ok"))
+    return _lines(spark, d).filter("t_id % 10 = 0").join(items, "item", "left").groupBy("t_id", "item", F.coalesce("ok", F.lit("item missing")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS warehouse, n_regionkey AS district, count(*) AS payments, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS ytd FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
+def tpcc_payment_ytd(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return o.groupBy(F.col("c_nationkey").alias("warehouse"), F.col("n_regionkey").alias("district")).agg(F.count("*").alias("payments"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("ytd"))
+
+
+@query("SELECT c_custkey AS customer, count(o_orderkey) AS payment_cnt, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS ytd, CAST(CAST(any_value(c_acctbal) AS DECIMAL(18,2)) - coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS balance FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def tpcc_customer_payments(spark: SparkSession, d: str) -> DataFrame:
+    paid = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("t"))
+    c = table(spark, d, "customer").join(paid, "c_custkey", "left")
+    t = F.coalesce("t", F.lit(0).cast("decimal(28,2)"))
+    return c.select(F.col("c_custkey").alias("customer"), F.coalesce("n", F.lit(0)).cast("long").alias("payment_cnt"), t.cast("double").alias("ytd"), (F.col("c_acctbal").cast("decimal(18,2)") - t).cast("double").alias("balance"))
+
+
+@query("SELECT c_nationkey, c_mktsegment AS name, list_sort(list((c_name, c_custkey)))[(count(*) - 1) // 2 + 1][2] AS customer, count(*) AS n FROM customer GROUP BY ALL")
+def tpcc_customer_by_name_middle(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_nationkey", F.col("c_mktsegment").alias("name"), "c_name", F.col("c_custkey").alias("customer"))
+    return wl.middle_by_name(c, ["c_nationkey", "name"], ["c_name"], "customer")
+
+
+@query("SELECT o_custkey AS customer, substr(string_agg(o_orderkey || ' ' || o_orderpriority, '|' ORDER BY o_orderkey DESC), 1, 200) AS data FROM orders GROUP BY 1")
+def tpcc_bad_credit_data(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority").alias("entry"))
+    return wl.prefixed_text(o, "customer", "o_orderkey", "entry", 200)
+
+
+@query("SELECT o_custkey AS customer, max(o_orderkey) AS last_order, count(*) AS history FROM orders GROUP BY 1")
+def tpcc_history_latest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.max("o_orderkey").alias("last_order"), F.count("*").alias("history"))
+
+
+@query("SELECT l_orderkey AS t_id, printf('%d:%.2f', l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)) AS reply FROM lineitem GROUP BY 1")
+def tpcc_reply_pack(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("t_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("t"))
+    return g.select("t_id", F.format_string("%d:%.2f", "t_id", "t").alias("reply"))
+
+
+_HOTEL = "ho AS (SELECT s_suppkey AS hotel, 30 + (s_suppkey * 37 % 1000) / 5000.0 AS h_lat, 10 + (s_suppkey * 91 % 1000) / 5000.0 AS h_lon FROM supplier), sr AS (SELECT event_id AS request_id, 30 + (event_id * 13 % 1000) / 5000.0 AS lat, 10 + (event_id * 29 % 1000) / 5000.0 AS lon FROM events WHERE event_type = 'view'), di AS (SELECT request_id, hotel, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(h_lat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(h_lat)) * pow(sin((radians(h_lon) - radians(lon)) / 2), 2)))) AS km FROM sr, ho)"
+
+
+def _hotels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("hotel"), (F.lit(30) + (F.col("s_suppkey") * 37 % 1000) / F.lit(5000.0)).alias("h_lat"), (F.lit(10) + (F.col("s_suppkey") * 91 % 1000) / F.lit(5000.0)).alias("h_lon"))
+
+
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").filter("event_type = 'view'")
+    return e.select(F.col("event_id").alias("request_id"), (F.lit(30) + (F.col("event_id") * 13 % 1000) / F.lit(5000.0)).alias("lat"), (F.lit(10) + (F.col("event_id") * 29 % 1000) / F.lit(5000.0)).alias("lon"))
+
+
+@query(f"WITH {_HOTEL} SELECT request_id, hotel, CAST(row_number() OVER (PARTITION BY request_id ORDER BY km, hotel) AS INTEGER) AS rank, round(km, 4) AS km FROM di WHERE km < 10 QUALIFY rank <= 5")
+def hotel_nearby_top5(spark: SparkSession, d: str) -> DataFrame:
+    return wl.nearby(_searches(spark, d), _hotels(spark, d), 10.0, 5).withColumn("km", F.round("km", 4))
+
+
+@query(f"WITH {_HOTEL}, t AS (SELECT request_id, hotel FROM di WHERE km < 10 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY km, hotel) <= 5) SELECT DISTINCT request_id, hotel FROM t WHERE hotel IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def hotel_rates_semi(spark: SparkSession, d: str) -> DataFrame:
+    rated = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("hotel"))
+    return hotel_nearby_top5(spark, d).join(rated, "hotel", "left_semi").select("request_id", "hotel").distinct()
+
+
+@query("SELECT p_type AS kind, p_partkey AS hotel, p_size AS rate FROM part QUALIFY rank() OVER (PARTITION BY p_type ORDER BY p_size DESC) = 1")
+def hotel_recommend_rate_ties(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("hotel"), F.col("p_size").alias("rate"))
+    return an.extremes(p, ["kind"], "rate", largest=True)
+
+
+@query("SELECT p_type AS kind, p_partkey AS hotel, p_retailprice AS price FROM part QUALIFY rank() OVER (PARTITION BY p_type ORDER BY p_retailprice) = 1")
+def hotel_recommend_price_ties(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("hotel"), F.col("p_retailprice").alias("price"))
+    return an.extremes(p, ["kind"], "price")
+
+
+@query("SELECT o_orderkey AS request_id, o_custkey AS hotel, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3 + o_custkey % 5 AS admitted FROM orders")
+def hotel_capacity_admission(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("hotel"), (F.lit(3) + F.col("o_custkey") % 5).alias("capacity"))
+    return wl.admit(o, "hotel", "request_id", "capacity").select("request_id", "hotel", "admitted")
+
+
+@query("SELECT event_id AS request_id, sha256(CAST(user_id AS VARCHAR)) = sha256(CAST(CASE WHEN event_id % 4 = 0 THEN user_id + 1 ELSE user_id END AS VARCHAR)) AS ok FROM events WHERE event_type = 'click'")
+def user_login_check(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    stored = e.select("user_id").distinct().withColumn("password", F.sha2(F.col("user_id").cast("string"), 256))
+    given = e.filter("event_type = 'click'").select(F.col("event_id").alias("request_id"), "user_id", F.sha2(F.when(F.col("event_id") % 4 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).cast("string"), 256).alias("given"))
+    return given.join(stored, "user_id").select("request_id", (F.col("given") == F.col("password")).alias("ok"))
+
+
+@query("SELECT conv_id, max(text) FILTER (role = 'system') AS \"system\", max(text) FILTER (role = 'user') AS \"user\", max(text) FILTER (role = 'assistant') AS assistant FROM conversations GROUP BY conv_id")
+def review_compose_merge(spark: SparkSession, d: str) -> DataFrame:
+    return wl.merge_attributes(table(spark, d, "conversations"), "conv_id", "role", "text", ["system", "user", "assistant"])
+
+
+@query("SELECT l_orderkey AS \"order\", CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS items, CAST(sum(CAST(l_quantity AS BIGINT) * CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def cart_totals(spark: SparkSession, d: str) -> DataFrame:
+    price = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"))
+    c = wl.cart_totals(_lines(spark, d).withColumnRenamed("t_id", "order").drop("price").join(price, "item"))
+    return c.select("order", "items", F.col("total").cast("double").alias("total"))
+
+
+@query("SELECT l_orderkey AS \"order\", l_partkey AS item, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty FROM lineitem GROUP BY ALL")
+def cart_item_quantities(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).groupBy(F.col("t_id").alias("order"), "item").agg(F.sum("qty").alias("qty"))
+
+
+@query()
+def cart_checkout_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Checkouts that take stock of all items and credit, or nothing; in order within each epoch's region.
+
+    Orders of a nation share its credit and stock, so a nation's orders of an
+    epoch are one group of the fold.
+    """
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("t_id"), F.col("c_nationkey").alias("g"), F.col("o_custkey").alias("user"), F.col("o_totalprice").alias("total"), F.floor(F.col("o_orderkey") / 1000).alias("epoch"), F.col("c_acctbal").alias("credit"))
+    items = _lines(spark, d).groupBy("t_id").agg(F.sort_array(F.collect_list(F.struct((F.col("item") % 50).alias("item"), "qty"))).alias("items"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = {"stock": {i: 200 for i in range(50)}, "credit": {}}
+        out = []
+        for r in pdf.sort_values("t_id").itertuples():
+            state["credit"].setdefault(r.user, 100 * max(0.0, r.credit))
+            why = wl.checkout_step(state, {"user": r.user, "total": r.total, "items": [(x["item"], x["qty"]) for x in r.items]})
+            out.append((r.t_id, r.epoch, r.g, why is None, why))
+        return pd.DataFrame(out, columns=["t_id", "epoch", "nation", "paid", "reason"])
+
+    return o.join(items, "t_id").groupBy("epoch", "g").applyInPandas(run, "t_id long, epoch long, nation int, paid boolean, reason string")
+
+
+@query()
+def generated_transfers(spark: SparkSession, d: str) -> DataFrame:
+    """Uniform debtor and another, Zipf-distributed creditor."""
+    n = 1000
+    g = spark.range(10_000).select(F.col("id").alias("request_id"), F.floor(fn.uniform(1, F.col("id")) * n).cast("long").alias("src"), fn.zipf(fn.uniform(2, F.col("id")), n, 0.9).alias("dst"))
+    return g.withColumn("dst", F.when(F.col("src") == F.col("dst"), F.pmod(F.col("dst") + 1, F.lit(n))).otherwise(F.col("dst")))
+
+
+@query()
+def generated_orders(spark: SparkSession, d: str) -> DataFrame:
+    """A mix of new orders (52 %) and payments with skewed customers, names and 5 to 15 lines."""
+    i = F.col("id")
+    g = spark.range(10_000).select(i.alias("request_id"), F.when(fn.uniform(3, i) < 0.52, "new_order").otherwise("payment").alias("function"), (F.floor(fn.uniform(4, i) * 10) + 1).alias("w_id"), (F.floor(fn.uniform(5, i) * 10) + 1).alias("d_id"), fn.non_uniform(1023, 1, 3000, 259, 6, i).alias("c_id"), (F.floor(fn.uniform(8, i) * 11) + 5).alias("lines"), fn.last_name(fn.non_uniform(255, 0, 999, 123, 9, i)).alias("c_last"), (fn.uniform(11, i) < 0.01).alias("rolls_back"), (fn.uniform(12, i) < 0.6).alias("by_name"))
+    return g.withColumn("items", F.transform(F.sequence(F.lit(1), F.col("lines")), lambda k: fn.non_uniform(8191, 1, 100_000, 7911, 13, F.col("request_id"), k)))
