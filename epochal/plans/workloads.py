@@ -244,3 +244,23 @@ def generated_orders(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("id")
     g = spark.range(10_000).select(i.alias("request_id"), F.when(fn.uniform(3, i) < 0.52, "new_order").otherwise("payment").alias("function"), (F.floor(fn.uniform(4, i) * 10) + 1).alias("w_id"), (F.floor(fn.uniform(5, i) * 10) + 1).alias("d_id"), fn.non_uniform(1023, 1, 3000, 259, 6, i).alias("c_id"), (F.floor(fn.uniform(8, i) * 11) + 5).alias("lines"), fn.last_name(fn.non_uniform(255, 0, 999, 123, 9, i)).alias("c_last"), (fn.uniform(11, i) < 0.01).alias("rolls_back"), (fn.uniform(12, i) < 0.6).alias("by_name"))
     return g.withColumn("items", F.transform(F.sequence(F.lit(1), F.col("lines")), lambda k: fn.non_uniform(8191, 1, 100_000, 7911, 13, F.col("request_id"), k)))
+
+
+@query(_BAL + ", c AS (SELECT key, count(*) AS n FROM ev GROUP BY key) SELECT key, CAST(value AS BIGINT) AS value, n AS events FROM bal JOIN c USING (key)")
+def streaming_state_equivalence(spark: SparkSession, d: str) -> DataFrame:
+    """Transfers as a stream through keyed state; the last balance of each key equals the batch result."""
+    import uuid
+
+    from ..storage import shared_dir
+    from ..streaming.balances import running_balances
+
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    wl.transfer_events(_transfers(spark, d)).select("key", F.col("delta").cast("long").alias("delta")).write.option("maxRecordsPerFile", 5000).parquet(f"{path}/in")
+    stream = spark.readStream.schema("key long, delta long").option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    q = running_balances(stream, OPENING).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("key").agg(F.max_by("value", "batch").alias("value"), F.max_by("events", "batch").alias("events"))
