@@ -23,5 +23,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("dataflow", "workloads", "analytics"):
+for _name in ("dataflow", "workloads", "analytics", "more"):
     import_module(f"{__package__}.{_name}")
