@@ -10,20 +10,24 @@ overlap, and none is a proper prefix of another with the same windows.
 
 1. Parse: each block cuts its texts into phrases and keeps the first place of
    each distinct phrase (the dictionary); other places are repeats already.
-2. The dictionaries of all blocks meet in buckets, sorted by the bytes that any
-   window of a phrase holds (the context after its trigger), then by phrase, then
-   by place in the corpus (document id, offset). Within a run of equal phrases
-   all but the first place are repeats. A context with one distinct phrase needs
-   no more: none of its windows occurs elsewhere.
-3. First places of phrases that share a context with another phrase are expanded
-   into the dictionary's suffixes, each cut to ``LENGTH`` bytes. Their sorted
-   order with places in the corpus gives each class of equal windows and its
-   first place; the others are repeats.
-
-Only equality and first place count for dedup, so suffixes and phrases are
-sorted by fingerprints (64 bits besides bucket and context bits, from other
-hashes), not alphabetically: an order of whole corpus suffixes would need one
-global sort of all bytes and give the same removals.
+2. The parses of all blocks meet in buckets, sorted by the bytes that any window
+   of a phrase holds (the context after its trigger), then by phrase, then by
+   place in the corpus (document id, offset). Within a run of equal phrases all
+   but the first place are repeats. A context with one distinct phrase needs no
+   more: none of its windows occurs elsewhere.
+3. Phrases that share a context with another one are sent to the bucket as
+   strings, once each. Prefix doubling sorts the suffixes of this dictionary,
+   cut to ``LENGTH`` bytes; with the first places from the parse, each class of
+   equal windows is a run of the suffix order in corpus order: the first stays,
+   the others are repeats.
+
+Suffixes are compared to a depth of ``LENGTH`` bytes only, which is all that
+dedup asks for; a longer order would give the same removals. Equal phrases are
+told by fingerprints (64 bits besides bucket and context bits, from other
+hashes), different ones by their bytes. A context with more than ``SPREAD``
+distinct phrases (a passage that very many documents share, each with other
+neighbours) would be too much for one task: its phrases' suffixes are dealt to
+all buckets by fingerprint instead, and compared in the same way.
 
 A byte is removed when some window of ``LENGTH`` bytes over it also starts
 earlier: in a document with a smaller id, or further left in its own. Null text
@@ -40,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import MESSAGE, as_blocks, bucket_count, deal, gather, messages, passed_on, raw, same_as_previous
+from .blocks import MESSAGE, as_blocks, bucket_count, deal, gather, messages, pack, passed_on, raw, same_as_previous, unpack
 from .common import Rolling, mix
 
 LENGTH = 100
@@ -48,8 +52,10 @@ GRAM = 16
 REACH = 64
 #: Bytes of text in a block; a task holds some ten 8-byte numbers a byte.
 BLOCK = 5 << 19
+#: Distinct phrases of one context up to which one task sorts their suffixes.
+SPREAD = 2048
 _ONE, _TWO, _THREE = Rolling(0x9E3779B97F4A7C15), Rolling(0xD6E8FEB86659FD93), Rolling(0xA0761D6478BD642F)
-_DEALT, _TO_BLOCK, _COVERED, _DETAIL, _WINDOW = 0, 1, 2, 3, 4
+_DEALT, _COVERED, _DETAIL, _SPREAD, _PHRASE, _WINDOW = 0, 1, 2, 3, 4, 5
 _PLACE = (np.int64, np.uint32, np.uint32)  # order of the document, start, end
 
 
@@ -116,7 +122,26 @@ def phrases(x: Text, gram: int = GRAM, reach: int = REACH) -> tuple[np.ndarray,
     return start, end, context, phrase, bucket
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, reach: int = REACH) -> DataFrame:
+def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Places of the suffixes at ``starts`` in the order of their first ``length`` bytes, equal ones alike, by prefix doubling."""
+    wide = min(8, length)
+    key = np.zeros(max(0, len(data) - wide + 1), np.uint64)
+    for k in range(wide):
+        key = (key << np.uint64(8)) | data[k : k + len(key)]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    while 2 * wide <= length:
+        n = max(0, len(data) - 2 * wide + 1)
+        rank = np.unique(rank[:n] * np.uint64(len(rank) + 1) + rank[wide : wide + n], return_inverse=True)[1].astype(np.uint64)
+        wide *= 2
+    return np.unique(rank[starts] * np.uint64(len(rank) + 1) + rank[starts + length - wide], return_inverse=True)[1]
+
+
+def _strings(x: Text, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all given places, one after another."""
+    return x.data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+
+
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, reach: int = REACH, spread: int = SPREAD) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes left)."""
     if gram + reach - 1 > length:
         raise ValueError("a window must hold the grams that choose its trigger")
@@ -143,7 +168,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         c, p = context[by], phrase[by]
         same = same_as_previous(c, p)
         heads = np.flatnonzero(~same)
-        covered, detail = np.zeros(len(by), bool), np.zeros(len(by), bool)
+        covered, detail, spreads = np.zeros(len(by), bool), np.zeros(len(by), bool), np.zeros(len(by), bool)
         if len(heads):
             n = np.diff(np.r_[heads, len(by)])
             first = heads.copy()
@@ -157,22 +182,31 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 first[runs] = i[j[lead]]
             covered[by] = True
             covered[by[first]] = False
-            shared = same_as_previous(c[heads])
-            shared[:-1] |= shared[1:]
-            detail[by[first[shared]]] = True
+            of = np.cumsum(~same_as_previous(c[heads])) - 1
+            distinct = np.bincount(of)[of]
+            detail[by[first[(distinct > 1) & (distinct <= spread)]]] = True
+            spreads[by[first[distinct > spread]]] = True
         me = t.column("dst")[0].as_py()
         size = size.astype(np.uint32)
-        out = deal(src[covered], me, _COVERED, order[covered], off[covered], size[covered]) + deal(src[detail], me, _DETAIL, order[detail], off[detail], size[detail])
+        out = deal(src[covered], me, _COVERED, order[covered], off[covered], size[covered])
+        out += deal(src[detail], me, _DETAIL, order[detail], off[detail], size[detail]) + deal(src[spreads], me, _SPREAD, order[spreads], off[spreads], size[spreads])
         return messages(out + passed_on(t, _COVERED))
 
     def expand(t: pa.Table, m: pa.Table) -> pa.Table:
         if not t.num_rows or not m.num_rows:
             return messages([])
         me = t.column("blk")[0].as_py()
-        (order, off, size), _ = gather(m, _DETAIL, *_PLACE)
+        (order, off, size), bucket = gather(m, _DETAIL, *_PLACE)
         out = [(me % buckets, me, k, d) for _, _, k, d in passed_on(m, _COVERED)]
+        x = Text(t, length)
+        by = np.argsort(bucket, kind="stable")
+        order, off, size, bucket = order[by], off[by], size[by], bucket[by]
+        cuts = np.flatnonzero(np.r_[~same_as_previous(bucket), True]) if len(bucket) else []
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            text = _strings(x, x.base_of(order[a:z]) + off[a:z].astype(np.int64), size[a:z].astype(np.int64))
+            out.append((int(bucket[a]), me, _PHRASE, np.int64(z - a).tobytes() + pack(order[a:z], off[a:z], size[a:z]) + text.tobytes()))
+        (order, off, size), _ = gather(m, _SPREAD, *_PLACE)
         if len(order):
-            x = Text(t, length)
             n = size.astype(np.int64) - length + 1
             start = x.base_of(order) + off.astype(np.int64)
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -192,17 +226,36 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return messages(out)
 
     def decide(t: pa.Table) -> pa.Table:
+        me, out = t.column("dst")[0].as_py(), passed_on(t, _COVERED)
         (h, order, off), src = gather(t, _WINDOW, np.uint64, np.int64, np.uint32)
-        by = np.argsort(h, kind="stable")
-        s = h[by]
-        same = same_as_previous(s)
-        i = same.copy()
-        i[:-1] |= same[1:]
-        i = by[i]  # windows of several blocks
-        j = i[np.lexsort((off[i], order[i], h[i]))]
-        again = j[same_as_previous(h[j])]
-        again.sort()
-        return messages(deal(src[again], t.column("dst")[0].as_py(), _COVERED, order[again], off[again], np.full(len(again), length, np.uint32)) + passed_on(t, _COVERED))
+        out += later(me, h, order, off, src)
+        places, texts, src = [], [], []
+        for s, k, d in zip(t.column("src").to_pylist(), t.column("kind").to_pylist(), t.column("data")):
+            if k == _PHRASE:
+                raw_bytes = d.as_buffer()
+                n = int(np.frombuffer(raw_bytes, np.int64, 1)[0])
+                head = 8 + n * sum(np.dtype(x).itemsize for x in _PLACE)
+                places.append(unpack(raw_bytes[8:head], *_PLACE))
+                texts.append(np.frombuffer(raw_bytes, np.uint8, offset=head))
+                src.append(np.full(n, s, np.int32))
+        if places:
+            order, off, size = (np.concatenate(x) for x in zip(*places))
+            src, size = np.concatenate(src), size.astype(np.int64)
+            n = size - length + 1
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            rank = suffix_ranks(np.concatenate(texts), np.repeat(np.cumsum(size) - size, n) + step, length)
+            out += later(me, rank, np.repeat(order, n), (np.repeat(off, n) + step).astype(np.uint32), np.repeat(src, n))
+        return messages(out)
+
+    def later(me: int, window: np.ndarray, order: np.ndarray, off: np.ndarray, src: np.ndarray) -> list:
+        """Messages on all places of a window but the first."""
+        by = np.argsort(window, kind="stable")
+        i = same_as_previous(window[by])
+        i[:-1] |= i[1:]
+        i = by[i]
+        j = i[np.lexsort((off[i], order[i], window[i]))]
+        again = np.sort(j[same_as_previous(window[j])])
+        return deal(src[again], me, _COVERED, order[again], off[again], np.full(len(again), length, np.uint32))
 
     def remove(t: pa.Table, m: pa.Table) -> pa.Table:
         x = Text(t, length)

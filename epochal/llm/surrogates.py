@@ -39,12 +39,13 @@ ATTEMPTS = 64
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NUMERIC = re.compile(
     r"(?P<ip>(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?P<sep>[ .-])\d{2,4}(?!\d)(?:(?P=sep)\d{2,4}(?!\d|\.\d+\.\d)){0,4}"
+    r"|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<card>(?<!\d)(?:\d{4}([ -])\d{4}\6\d{4}\6\d{1,7}|\d{13,19})(?!\d))"
+    r"|(?P<card>(?<!\d)(?:\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{13,19})(?!\d))"
 )
-_SECRET = re.compile(r"(?P<key>(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))|(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_\-/+]{6,}={0,2})")
+_SECRET = re.compile(r"(?P<key>(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))|(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>(?=[A-Za-z_\-/+]*\d)[A-Za-z0-9_\-/+]{6,}={0,2})")
 #: Titles with the gender they tell (fixed values).
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 _NAME = re.compile(r"(?<!\w)(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(?P<gap>\.? )(?P<name>[^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?)(?!\w)")

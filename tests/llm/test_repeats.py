@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+
 from epochal.llm import block_anchors, prefix_free
 
 
@@ -49,6 +51,20 @@ def test_bytes_with_short_windows(docs, rows):
     assert Counter(map(tuple, got)) == brute_bytes(rows, 20)
 
 
+def test_bytes_with_contexts_of_many_phrases(docs, rows):
+    got = prefix_free.repeated_bytes(docs, length=20, gram=8, reach=12, spread=1).collect()
+    assert Counter(map(tuple, got)) == brute_bytes(rows, 20)
+
+
+def test_suffix_ranks():
+    data = np.frombuffer(b"abracadabra abracadabra banana bandana", np.uint8)
+    for length in (1, 3, 8, 11, 16):
+        starts = np.arange(len(data) - length + 1)
+        words = [data[i : i + length].tobytes() for i in starts]
+        order = {w: i for i, w in enumerate(sorted(set(words)))}
+        assert prefix_free.suffix_ranks(data, starts, length).tolist() == [order[w] for w in words]
+
+
 def test_bytes_null_ids_come_last(spark):
     t = "abcdefghij" * 3 + "the quick brown fox jumps over the lazy dog and more of it to fill one hundred and twenty bytes"
     d = spark.createDataFrame([(None, t), (5, t), (7, t + "x")], "doc_id long, text string")

@@ -138,8 +138,15 @@ def test_surrogates_in_one_text():
     assert a == b
 
 
+def test_neighbouring_numbers_stay_apart():
+    kinds = lambda t: [(k, c) for _, _, k, c in surrogates.find(t)]
+    assert kinds("+1 (017) 555-7713 97.51.17.173 4736962573099581 4736962573099581") == [("phone", "+10175557713"), ("ip", "97.51.17.173"), ("card", "4736962573099581"), ("card", "4736962573099581")]
+    assert kinds("+33 1 23 45 67 89 10.1.2.3") == [("phone", "+33123456789"), ("ip", "10.1.2.3")]
+    assert kinds("GB29 NWBK 6016 1331 9268 19, 123-45-6789.") == [("iban", "GB29NWBK60161331926819"), ("ssn", "123456789")]
+
+
 def test_clean_text_is_left_alone():
-    for t in ("Licensed under CC BY-NC 4.0.\nVersion 3. In 1999, 12 of 345.", "a@b", "x = y", "Mr", ""):
+    for t in ("The password: required. Secret = nothing here", "Licensed under CC BY-NC 4.0.\nVersion 3. In 1999, 12 of 345.", "a@b", "x = y", "Mr", ""):
         assert surrogates.rewrite(t, {}) == (t, [])
 
 
