@@ -17,6 +17,10 @@ TPCC = {
     "item": "i_id long, i_im_id long, i_name string, i_price double, i_data string",
     "history": "h_c_id long, h_c_d_id long, h_c_w_id long, h_d_id long, h_w_id long, h_date string, h_amount double, h_data string",
     "new_order": "no_o_id long, no_d_id long, no_w_id long",
+    "order": "o_id long, o_c_id long, o_d_id long, o_w_id long, o_entry_d string, o_carrier_id long, o_ol_cnt long, o_all_local int",
+    "order_line": "ol_o_id long, ol_d_id long, ol_w_id long, ol_number long, ol_i_id long, ol_supply_w_id long, ol_delivery_d string, ol_quantity long, ol_amount double, ol_dist_info string",
+    "customer": "c_id long, c_d_id long, c_w_id long, c_first string, c_middle string, c_last string, c_street_1 string, c_street_2 string, c_city string, c_state string, c_zip string, c_phone string, c_since string, c_credit string, c_credit_lim double, c_discount double, c_balance double, c_ytd_payment double, c_payment_cnt long, c_delivery_cnt long, c_data string",
+    "stock": "s_i_id long, s_w_id long, s_quantity long, " + ", ".join(f"s_dist_{i:02d} string" for i in range(1, 11)) + ", s_ytd double, s_order_cnt long, s_remote_cnt long, s_data string",
 }
 
 
@@ -25,8 +29,21 @@ def run_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path).orderBy("timestamp")
 
 
+#: Columns that make up a table's composite key.
+TPCC_KEYS = {"warehouse": ["w_id"], "district": ["d_w_id", "d_id"], "item": ["i_id"], "history": ["h_c_w_id", "h_c_d_id", "h_c_id"], "new_order": ["no_w_id", "no_d_id", "no_o_id"], "order": ["o_w_id", "o_d_id", "o_id"], "order_line": ["ol_w_id", "ol_d_id", "ol_o_id", "ol_number"], "customer": ["c_w_id", "c_d_id", "c_id"], "stock": ["s_w_id", "s_i_id"]}
+
+
 def tpcc_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(TPCC[name]).csv(path)
+    """A header-less order-entry file, typed, with its composite key."""
+    return spark.read.schema(TPCC[name]).csv(path).withColumn("key", F.concat_ws(":", *[F.col(c).cast("string") for c in TPCC_KEYS[name]]))
+
+
+def tpcc_state(spark: SparkSession, path: str, name: str, n: int) -> DataFrame:
+    """The file as initial state of an operator: rows placed by the warehouse, the first field of the key."""
+    from ..operators.partitioning import composite_partition
+
+    d = tpcc_csv(spark, path, name)
+    return d.select(F.lit(name).alias("operator"), composite_partition("key", ":", 0, n).alias("part"), "key", F.to_json(F.struct(*[c for c in d.columns if c != "key"])).alias("value"))
 
 
 def trace(spark: SparkSession, path: str, peak: float | None = None) -> DataFrame:

@@ -125,3 +125,30 @@ def test_snapshot_log_and_csv(spark, tmp_path):
     assert [r.request_id for r in files.run_csv(spark, f"{tmp_path}/req.csv", files.REQUESTS).collect()] == [1, 2]
     (tmp_path / "t.csv").write_text("timestamp,total_throughput\n0,0.5\n")
     assert files.trace(spark, f"{tmp_path}/t.csv", 100.0).first().total_throughput == 50.0
+
+
+def test_client_sends_and_receives(spark):
+    from epochal.client import Client, graph_spec, spec_changes
+
+    c = Client(spark, bank(), epoch_size=10)
+    c.init_data("accounts", {0: 5, 1: 5})
+    a, b = c.send_event("accounts", 0, "transfer", [1, 2]), c.send_event("accounts", 7, "read")
+    with pytest.raises(UnknownFunction):
+        c.send_event("accounts", 0, "nothing")
+    assert c.get(a).value == 7 and c.get(a).error is None and c.get(a).latency_ms > 0 and c.get(b).value is None
+    assert "ValueError" in c.get(c.send_event("accounts", 0, "transfer", [1, 99])).error
+    bigger = Graph("bank").add_operators(Operator("accounts", 8), Operator("other"))
+    assert spec_changes(graph_spec(bank()), graph_spec(bigger)) == {"added": ["other"], "moved": [("accounts", 4, 8)]}
+
+
+def test_order_entry_files(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("3,6,n,s,t,c,st,z,0.1,20.5,7\n")
+    r = files.tpcc_state(spark, f"{tmp_path}/d.csv", "district", 4).first()
+    assert (r.key, r.part, json.loads(r.value)["d_next_o_id"]) == ("6:3", 2, 7)
+
+
+def test_reply_rows(spark):
+    from epochal.sources.kafka import reply_rows
+
+    r = reply_rows(spark.createDataFrame([(1, "5", None)], "request_id long, response string, error string"), "accounts").first()
+    assert (r.topic, r.key, json.loads(r.value)) == ("accounts--OUT", "1", {"response": "5"})
