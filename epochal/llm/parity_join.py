@@ -40,7 +40,7 @@ from ..operators.components import components
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
 CHUNK = 512
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows (of two numbers) up to which the list of documents to verify is broadcast; beyond it is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _SEQUENCE = Rolling(0xE7037ED1A0B428DB)
@@ -232,8 +232,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = texts.mapInArrow(post, MESSAGE).groupBy("dst").applyInArrow(meet, "a long, b long").distinct()
     groups = components(stars, "candidates")
 
-    members = groups.join(classes, groups["v"] == classes["s1"]).select("root", "s1", "rep", "copies", "n")
-    sizes = members.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("weight"))
+    # Written, as ``least`` below, so that the joins can split a hot group.
+    members = saved(groups.join(classes, groups["v"] == classes["s1"]).select("root", "s1", "rep", "copies", "n"), "members")
+    sizes = saved(members.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("weight")), "sizes")
     parts = F.ceil(F.greatest(F.col("g") / chunk, F.col("weight") / (chunk * 4096))).cast("int")
     members = saved(members.join(sizes, "root").withColumn("parts", parts), "members")
     total, weight = members.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0))).first()
@@ -289,7 +290,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = verified.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     labelled = classes.join(roots, classes["s1"] == roots["v"], "left").join(degree, classes["s1"] == degree["a"], "left")
     labelled = labelled.select("s1", F.coalesce("root", "s1").alias("root"), "least", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = saved(labelled, "labels")
+    least = saved(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     labelled = labelled.join(least, "root").select("s1", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     own_set = F.when(F.col("n") > 0, F.col("s1"))
     out = described.withColumn("own", own_set).join(labelled.withColumnRenamed("s1", "own"), "own", "left")
