@@ -33,7 +33,8 @@ def as_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
 
 
 def bucket_count(docs: DataFrame, bytes_per_text_byte: float) -> int:
-    return max(shuffle_partitions(docs.sparkSession), int(2 * min(plan_bytes(docs), 1 << 50) * bytes_per_text_byte) // BUCKET_BYTES, 1)
+    size, n = plan_bytes(docs), shuffle_partitions(docs.sparkSession)
+    return max(n, int(2 * size * bytes_per_text_byte) // BUCKET_BYTES) if size is not None else n
 
 
 def raw(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,18 +18,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: for a Parquet scan, the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame) -> int | None:
+    """Bytes that the plan reads: for Parquet scans, the size of the files. None where Catalyst can't tell."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else None
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """Number of groups so that each holds about ``block_bytes``; it grows with the input.
 
-    Text in Parquet expands about twice.
+    Text in Parquet expands about twice. Without a known size, four groups a
+    shuffle partition.
     """
-    size = min(plan_bytes(df), 1 << 50)
-    return max(shuffle_partitions(df.sparkSession), -(-2 * size // block_bytes), 1)
+    size, n = plan_bytes(df), shuffle_partitions(df.sparkSession)
+    return max(n, -(-2 * size // block_bytes)) if size is not None else 4 * n
 
 
 def words(text) -> F.Column:
