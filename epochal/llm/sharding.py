@@ -101,6 +101,7 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_
 
     upto = Window.partitionBy("g").orderBy("s")
     ends = cells.withColumn("end", F.sum("n").over(upto)).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("end", "s"))).alias("ends"))  # n_shards ends at most
+    ends = saved(ends, "ends")  # so that the join below can split a hot group
     placed = distributed_rank(linked, ["g"], [id_col, "size", "text_crc32"], "r").join(ends, "g")
     placed = placed.withColumn("shard", F.filter("ends", lambda e: e["end"] > F.col("r"))[0]["s"]).drop("ends", "r")
 
@@ -108,7 +109,7 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_
     for s in range(n_shards):
         left += quota[s] - load[s]
         ends_of_shards.append(left)
-    single = base.join(sizes.filter("group_size = 1"), "g").withColumn("__one", F.lit(0))
+    single = base.join(linked_groups, "g", "left_anti").withColumns({"group_size": F.lit(1).cast("long"), "__one": F.lit(0)})
     single = distributed_rank(single, ["__one"], ["g", id_col], "r").drop("__one")
     single = single.withColumn("shard", F.size(F.filter(F.array(*map(F.lit, ends_of_shards)), lambda e: e <= F.col("r"))).cast("int")).drop("r")
     out = placed.unionByName(single)
