@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of linked ones. Rows without id stay; rows that repeat id and text count once."""
-    found = parity_join.near_duplicates(docs)
+    """One document, that with the least id, of each group linked by a similarity of 0.8 in five-word shingles. Rows without id stay; rows that repeat id and text count once."""
+    found = parity_join.near_duplicates(docs, num=80, den=100, shingle=5)
     dropped = saved(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
     left = docs.join(dropped, "doc_id", "left_anti")
     repeats = saved(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeats")
