@@ -12,7 +12,9 @@ checksum (cards), script of letters, and for names title, gender and script.
 Collision checks: the distinct entities of all documents form a table. Attempt 0
 holds unless the surrogate equals an entity of the corpus or another entity's
 surrogate; then the entity takes the next attempt, until all surrogates differ
-from each other and from all entities. Only entities beyond attempt 0 need a
+from each other and from all entities. A shape with too few surrogates for its
+entities can't block this: later attempts leave the country code, then add
+characters. Only entities beyond attempt 0 need a
 table when texts are rewritten. It is broadcast up to ``BROADCAST_ROWS`` rows,
 and beyond that joined by document.
 
@@ -35,6 +37,8 @@ from .common import saved, unused
 KEY = b"surrogates-1"
 BROADCAST_ROWS = 50_000
 ATTEMPTS = 64
+#: Fewest digits of a telephone number with a country code; fewer are signed numbers, such as price changes.
+PHONE_DIGITS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NUMERIC = re.compile(
@@ -91,6 +95,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in _NUMERIC.finditer(text):
             k = next(k for k in ("ip", "phone", "ssn", "iban", "card") if m.group(k) is not None)
             s = m.group(k)
+            if k == "phone" and s[0] == "+" and sum(map(str.isdigit, s)) < PHONE_DIGITS:
+                continue
             found.append((m.start(), m.end(), k, s if k == "ip" else "".join(c for c in s if c.isalnum() or c == "+")))
     for m in _NAME.finditer(text) if _TITLE.search(text) else ():
         found.append((m.start("name"), m.end("name"), "name_" + TITLES[m.group("title")], m.group("name")))
@@ -149,6 +155,7 @@ def luhn(digits: str) -> int:
 def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
     """The canonical surrogate of an entity at an attempt."""
     d = _Draw(kind, canon, str(attempt), key=key)
+    longer = "0" * (attempt // 8)  # where a shape runs out
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         new = _letters(local, d)
@@ -160,25 +167,27 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
         return ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "phone":
         keep = 2 if canon.startswith("+1") else 3 if canon.startswith("+") else 0
-        return canon[:keep] + _letters(canon[keep:], d)
+        if attempt >= 4 and keep:  # short numbers run out: leave the country code
+            return "+" + str(1 + d.below(9)) + _letters(canon[2:] + longer, d)
+        return canon[:keep] + _letters(canon[keep:] + longer, d)
     if kind == "card":
-        new = _letters(canon, d)
+        new = _letters(canon + longer, d)
         if luhn(canon) == 0:
             new = new[:-1] + str((10 - luhn(new[:-1] + "0")) % 10)
         return new
     if kind == "iban":
-        return canon[:2] + _letters(canon[2:], d)
+        return canon[:2] + _letters(canon[2:] + longer, d)
     if kind == "key":
         return canon[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in canon[4:])
     if kind == "secret":
-        return _letters(canon, d, hexadecimal=re.fullmatch(r"[0-9a-fA-F]+", canon) is not None)
+        return _letters(canon + longer, d, hexadecimal=re.fullmatch(r"[0-9a-fA-F]+", canon) is not None)
     if kind.startswith("name"):
         s = script(canon[0])
         parts = canon.split(" ")
         given = GIVEN[s, kind[-1]]
         surname = "".join(SYLLABLES[s][d.below(len(SYLLABLES[s]))] for _ in range(3 + attempt // 4)).capitalize()
         return surname if len(parts) == 1 else given[d.below(len(given))] + " " + surname
-    return _letters(canon, d)
+    return _letters(canon + longer, d)
 
 
 def written(mention: str, kind: str, new: str) -> str:
@@ -187,7 +196,7 @@ def written(mention: str, kind: str, new: str) -> str:
         return new.upper() if mention.isupper() else new
     if kind in ("phone", "card", "iban", "ssn"):
         chars = iter(new)
-        return "".join(next(chars) if c.isalnum() or c == "+" else c for c in mention)
+        return "".join([*(next(chars) if c.isalnum() or c == "+" else c for c in mention), *chars])
     return new
 
 
