@@ -37,18 +37,22 @@ from .common import saved, unused
 KEY = b"surrogates-1"
 BROADCAST_ROWS = 50_000
 ATTEMPTS = 64
-#: Fewest digits of a telephone number with a country code; fewer are signed numbers, such as price changes.
-PHONE_DIGITS = 8
+#: Fewest and most digits of a telephone number with a country code; fewer are signed numbers, such as price changes.
+PHONE_DIGITS, MOST_DIGITS = 8, 15
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NUMERIC = re.compile(
     r"(?P<ip>(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?\d))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?P<sep>[ .-])\d{2,4}(?!\d)(?:(?P=sep)\d{2,4}(?!\d|\.\d+\.\d)){0,4}"
-    r"|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))"
+    r"|(?P<phone>(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d|[.-]\d)|(?<![\w.-])[2-9]\d\d [2-9]\d\d[ -]\d{4}(?!\d|[.-]\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<card>(?<!\d)(?:\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{13,19})(?!\d))"
 )
+#: Numbers with a country code: the first digits, then each further group with its separator.
+_PLUS = re.compile(r"(?<![\w+])\+([1-9]\d{0,14})(?!\d)")
+_AREA = re.compile(r"[ .-]?\((\d{1,5})\)[ .-]?(\d{1,12})(?!\d)")
+_DECIMAL = re.compile(r"[.,]\d")
+_GROUP = re.compile(r"([ .-])(\d{1,12})(?!\d)")
 _SECRET = re.compile(r"(?P<key>(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))|(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>(?=[A-Za-z_\-/+]*\d)[A-Za-z0-9_\-/+]{6,}={0,2})")
 #: Titles with the gender they tell (fixed values).
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
@@ -73,6 +77,38 @@ def script(ch: str) -> str:
     return "cyrillic" if "\u0400" <= ch <= "\u04ff" else "greek" if "\u0370" <= ch <= "\u03ff" else "latin"
 
 
+def _phone_end(text: str, m: re.Match) -> int:
+    """End of the telephone number that starts at a match of ``_PLUS``; 0 if it is none.
+
+    It takes all further groups of digits that one number can have. Decimals, a
+    card or an address end it; once it has enough digits, so does a separator
+    other than before, except ``-``.
+    """
+    n, at, before, groups = len(m[1]), m.end(), None, 1
+    full = 11 if m[1][0] == "1" else MOST_DIGITS
+    if n <= 3 and (a := _AREA.match(text, at)):
+        n, at, groups = n + len(a[1]) + len(a[2]), a.end(), 2
+    while n < full and (g := _GROUP.match(text, at)):
+        sep, digits = g.groups()
+        enough = n >= PHONE_DIGITS
+        if n + len(digits) > MOST_DIGITS or before == "." != sep or before == " " and sep == "." and groups > 2:
+            break
+        if enough and sep != "-" and (len(digits) < 2 or groups == 1 or sep != (before or sep) or _DECIMAL.match(text, g.end()) and sep != "."):
+            break
+        other = _NUMERIC.match(text, g.start(2))
+        kind = other and other.lastgroup
+        if kind == "ip" or kind in ("ssn", "card") and enough:
+            break
+        if kind == "card" and n + len(digits) != full and (n <= 3 or luhn("".join(filter(str.isdigit, other[0]))) == 0):
+            break
+        n, at, before, groups = n + len(digits), g.end(), sep, groups + 1
+    if not PHONE_DIGITS <= n <= MOST_DIGITS or n < full and text[at : at + 1] == "." and _DECIMAL.match(text, at):
+        return 0
+    if groups == 2 and before == "." and (len(m[1]) > 3 or n < 11):  # a decimal
+        return 0
+    return at
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Mentions that don't overlap: start, end, type and canonical form."""
     found = []
@@ -92,12 +128,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             k = m.lastgroup
             found.append((m.start(k), m.end(k), k, m.group(k)))
     if _DIGIT.search(text):
-        for m in _NUMERIC.finditer(text):
-            k = next(k for k in ("ip", "phone", "ssn", "iban", "card") if m.group(k) is not None)
-            s = m.group(k)
-            if k == "phone" and s[0] == "+" and sum(map(str.isdigit, s)) < PHONE_DIGITS:
+        at = 0
+        for m in [*_PLUS.finditer(text), None]:
+            end = _phone_end(text, m) if m and m.start() >= at else 0
+            if m and not end:
                 continue
-            found.append((m.start(), m.end(), k, s if k == "ip" else "".join(c for c in s if c.isalnum() or c == "+")))
+            for x in _NUMERIC.finditer(text, at, m.start() if m else len(text)):
+                k = next(k for k in ("ip", "phone", "ssn", "iban", "card") if x.group(k) is not None)
+                s = x.group(k)
+                found.append((x.start(), x.end(), k, s if k == "ip" else "".join(c for c in s if c.isalnum())))
+            if m:
+                found.append((m.start(), end, "phone", "+" + "".join(c for c in text[m.start() : end] if c.isdigit())))
+                at = end
     for m in _NAME.finditer(text) if _TITLE.search(text) else ():
         found.append((m.start("name"), m.end("name"), "name_" + TITLES[m.group("title")], m.group("name")))
     if len(found) < 2:

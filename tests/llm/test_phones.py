@@ -27,3 +27,39 @@ def test_shapes_that_run_out_are_settled(spark):
         assert len(set(new[k])) == 100 and not set(new[k]) & set(v)
     shown = [surrogates.written("+25.50", "phone", x) for x in new["phone"]]
     assert len(set(shown)) == 100 and Counter(map(str.isdigit, shown[0][1:3]))[True] == 2
+
+
+def test_international_numbers_are_found_whole():
+    for t, canon in {
+        "+14155552671": "+14155552671",
+        "+442071234567": "+442071234567",
+        "+49 30 1234567": "+49301234567",
+        "+4930 1234567": "+49301234567",
+        "+49 (0)30 1234567": "+490301234567",
+        "+49 30 12345-67": "+49301234567",
+        "+1.4155552671": "+14155552671",
+        "+1 415.555.2671": "+14155552671",
+        "+1 (415)555-2671": "+14155552671",
+        "+1-415-555 2671": "+14155552671",
+        "+33 1 23 45 67 89": "+33123456789",
+        "+44 20 7946 0958": "+442079460958",
+        "415 555 2671": "4155552671",
+        "415 555-2671": "4155552671",
+        "415-555-2671": "4155552671",
+        "(415) 555-2671": "4155552671",
+    }.items():
+        for text in (t, f"Call {t}.", f"[{t}], or", f"tel:{t}\n12"):
+            assert kinds(text) == [("phone", canon)], text
+        assert t not in surrogates.rewrite(f"Call {t} now", {})[0]
+    assert surrogates.rewrite("at +49 30 1234567", {})[0].endswith(surrogates.surrogate("phone", "+49301234567", 0)[-7:])
+
+
+def test_telephones_end_where_something_else_begins():
+    card, ip = ("card", "4111111111111111"), ("ip", "10.1.2.3")
+    assert kinds("+1 415 555 2671 4111 1111 1111 1111") == [("phone", "+14155552671"), card]
+    assert kinds("+49 30 1234567 4111 1111 1111 1111") == [("phone", "+49301234567"), card]
+    assert kinds("+14155552671 10.1.2.3 +442071234567 123-45-6789") == [("phone", "+14155552671"), ip, ("phone", "+442071234567"), ("ssn", "123456789")]
+    assert kinds("+44 2071234567 25.50 and +14155552671 12 items") == [("phone", "+442071234567"), ("phone", "+14155552671")]
+    assert kinds("+1 10.1.2.3") == [ip]
+    for t in ("+12345678.90", "+25.50 12.30 44.10 30.20", "+35 20.50 10.25", "+1,234,567.50", "+1234567.89", "120 130 4000", "+0.12345678901"):
+        assert kinds(t) == [], t
