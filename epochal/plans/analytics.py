@@ -284,6 +284,14 @@ def prediction_log_explode(spark: SparkSession, d: str) -> DataFrame:
     return x.select("event_id", "pos", F.round("p", 6).alias("predicted"))
 
 
+@query("SELECT event_id, CAST(i - 1 AS INTEGER) AS pos, round(value * i, 6) AS predicted FROM events, (SELECT unnest(range(1, 4)) AS i)")
+def prediction_log_explode_all(spark: SparkSession, d: str) -> DataFrame:
+    """The predictions of every event."""
+    log = table(spark, d, "events").select("event_id", F.to_json(F.array(*[F.col("value") * i for i in (1, 2, 3)])).alias("horizon"))
+    x = log.select("event_id", F.posexplode(F.from_json("horizon", "array<double>")).alias("pos", "p"))
+    return x.select("event_id", "pos", F.round("p", 6).alias("predicted"))
+
+
 @query(f"WITH {_HOURS}, c AS (SELECT name, hour, n > 2 AS busy, lag(n > 2) OVER (PARTITION BY name ORDER BY hour) AS was FROM h), s AS (SELECT name, hour, busy, lead(hour) OVER (PARTITION BY name ORDER BY hour) AS next FROM c WHERE busy <> coalesce(was, false)) SELECT name, hour AS started, next AS ended FROM s WHERE busy AND next IS NOT NULL")
 def migration_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Start and end of busy times: a change up paired with the next change."""

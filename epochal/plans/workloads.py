@@ -105,6 +105,13 @@ def tpcc_missing_items(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).filter("t_id % 10 = 0").join(items, "item", "left").groupBy("t_id", "item", F.coalesce("ok", F.lit("item missing")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT l_orderkey AS t_id, l_partkey AS item, CASE WHEN p_partkey IS NULL THEN 'item missing' ELSE 'ok' END AS outcome, count(*) AS n FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 100 <> 7) ON l_partkey = p_partkey GROUP BY ALL")
+def tpcc_missing_items_all(spark: SparkSession, d: str) -> DataFrame:
+    """The items of every order."""
+    items = table(spark, d, "part").filter("p_partkey % 100 <> 7").select(F.col("p_partkey").alias("item"), F.lit("ok").alias("ok"))
+    return _lines(spark, d).join(items, "item", "left").groupBy("t_id", "item", F.coalesce("ok", F.lit("item missing")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT c_nationkey AS warehouse, n_regionkey AS district, count(*) AS payments, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS ytd FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
 def tpcc_payment_ytd(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
