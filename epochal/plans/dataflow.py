@@ -164,6 +164,12 @@ def fallback_components(spark: SparkSession, d: str) -> DataFrame:
     return tx.fallback_components(fallback_dependencies(spark, d).filter("epoch < 4"))
 
 
+@query()
+def fallback_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all epochs; without SQL, the tests hold it against union-find."""
+    return tx.fallback_components(fallback_dependencies(spark, d))
+
+
 @query("WITH " + b.SQL_RES + ", s AS (SELECT q.epoch, count(*) AS processed, count(s.t_id) AS aborts FROM req q LEFT JOIN ser s USING (t_id) GROUP BY q.epoch) SELECT epoch, round(aborts / processed, 6) AS abort_rate, aborts / processed > 0.1 AS fallback FROM s")
 def fallback_trigger(spark: SparkSession, d: str) -> DataFrame:
     return tx.fallback_triggered(epoch_commit_stats(spark, d)).select("epoch", F.round("abort_rate", 6).alias("abort_rate"), "fallback")

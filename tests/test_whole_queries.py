@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import DATA, same
+from test_components import union_find
 
 from epochal.plans import registry
 
@@ -14,3 +15,13 @@ def test_whole_query_has_every_id(spark, duck, name, column, ids):
     part = set(registry.QUERIES[name](spark, D).toPandas()[column])
     assert set(got[column]) == {x for (x,) in duck.sql(ids).fetchall()} > part
     same(got, duck.sql(registry.ORACLES[f"{name}_all"]).df())
+
+
+def test_components_of_all_epochs(spark):
+    """sf0.01 has more epochs than the four of ``fallback_components``."""
+    d = f"{DATA}/sf0.01"
+    links = [(r.epoch, r.t_id, r.depends_on) for r in registry.QUERIES["fallback_dependencies"](spark, d).collect()]
+    got = registry.QUERIES["fallback_components_all"](spark, d).collect()
+    want = union_find([x[1:] for x in links])
+    assert {r.t_id: r.component for r in got} == want and len(got) == len(want)
+    assert len({e for e, _, _ in links}) > 4 and len(want) > registry.QUERIES["fallback_components"](spark, d).count()
