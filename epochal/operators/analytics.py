@@ -77,3 +77,16 @@ def parameter_grid(spark, grid: dict[str, list], irrelevant: dict[str, dict[str,
         for other, values in when.items():
             df = df.withColumn(k, F.when(~F.col(other).isin(values), F.col(k)))
     return df.distinct()
+
+
+def behind_first(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """All rows but the first ``n`` in an order of all columns."""
+    first = rows.orderBy(*order).limit(n).collect()  # n rows
+    if len(first) < n:
+        return rows.limit(0)
+    if not first:
+        return rows
+    last = first[-1]
+    place = F.struct(*order)
+    at = F.struct(*[F.lit(last[c]).cast(rows.schema[c].dataType).alias(c) for c in order])
+    return rows.filter(place > at).unionByName(rows.filter(place == at).offset(first.count(last)))

@@ -76,6 +76,12 @@ def skip_first_outputs(spark: SparkSession, d: str) -> DataFrame:
     return b.output(spark, d).orderBy("ts_out", "request_id").offset(20).limit(500)
 
 
+@query("WITH " + b.SQL_OUT + " SELECT request_id, ts_out FROM outp ORDER BY ts_out, request_id OFFSET 20")
+def skip_first_outputs_all(spark: SparkSession, d: str) -> DataFrame:
+    """All outputs behind the first 20, in no order, so that they needn't pass through one task."""
+    return an.behind_first(b.output(spark, d), ["ts_out", "request_id"], 20)
+
+
 @query(f"WITH {_HOURS} SELECT name, hour, round(avg(total) OVER (PARTITION BY name ORDER BY hour ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), 6) AS mean15 FROM h")
 def rolling_mean_15(spark: SparkSession, d: str) -> DataFrame:
     return hourly(spark, d).select("name", "hour", F.round(se.rolling_mean("total", ["name"], ["hour"], 15), 6).alias("mean15"))

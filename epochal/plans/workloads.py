@@ -138,6 +138,13 @@ def tpcc_bad_credit_data(spark: SparkSession, d: str) -> DataFrame:
     return wl.prefixed_text(o, "customer", "o_orderkey", "entry", 200)
 
 
+@query("SELECT o_custkey AS customer, substr(string_agg(o_orderkey || ' ' || o_orderpriority, '|' ORDER BY o_orderkey DESC), 1, 500) AS data FROM orders GROUP BY 1")
+def tpcc_bad_credit_data_500(spark: SparkSession, d: str) -> DataFrame:
+    """The data as it is stored; a payment's reply shows the first 200 characters."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority").alias("entry"))
+    return wl.prefixed_text(o, "customer", "o_orderkey", "entry", 500)
+
+
 @query("SELECT o_custkey AS customer, max(o_orderkey) AS last_order, count(*) AS history FROM orders GROUP BY 1")
 def tpcc_history_latest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.max("o_orderkey").alias("last_order"), F.count("*").alias("history"))

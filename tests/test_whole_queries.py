@@ -4,6 +4,7 @@ import pytest
 from conftest import DATA, same
 from test_components import union_find
 
+from epochal.operators import analytics as an
 from epochal.plans import registry
 
 D = f"{DATA}/sf0.001"
@@ -25,3 +26,20 @@ def test_components_of_all_epochs(spark):
     want = union_find([x[1:] for x in links])
     assert {r.t_id: r.component for r in got} == want and len(got) == len(want)
     assert len({e for e, _, _ in links}) > 4 and len(want) > registry.QUERIES["fallback_components"](spark, d).count()
+
+
+def test_all_outputs_behind_the_first(spark, duck):
+    got = registry.QUERIES["skip_first_outputs_all"](spark, D).toPandas()
+    outputs = duck.sql(registry.ORACLES["skip_first_outputs_all"].replace(" OFFSET 20", "")).df()
+    assert len(got) == len(outputs) - 20 > len(registry.QUERIES["skip_first_outputs"](spark, D).toPandas())
+    same(got, duck.sql(registry.ORACLES["skip_first_outputs_all"]).df())
+    rows = spark.createDataFrame([(1, 1), (1, 1), (1, 1), (2, 0)], "a int, b int")
+    for n in range(6):
+        assert sorted(map(tuple, an.behind_first(rows, ["a", "b"], n).collect())) == [(1, 1), (1, 1), (1, 1), (2, 0)][n:]
+
+
+def test_data_of_bad_credit_goes_past_200_characters(spark, duck):
+    got = registry.QUERIES["tpcc_bad_credit_data_500"](spark, D).toPandas()
+    part = registry.QUERIES["tpcc_bad_credit_data"](spark, D).toPandas()
+    assert 500 >= got["data"].str.len().max() > part["data"].str.len().max() == 200
+    same(got, duck.sql(registry.ORACLES["tpcc_bad_credit_data_500"]).df())
