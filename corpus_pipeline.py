@@ -24,15 +24,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group linked by a similarity of 0.8 in five-word shingles. Rows without id stay; rows that repeat id and text count once."""
-    found = parity_join.near_duplicates(docs, num=80, den=100, shingle=5)
-    dropped = saved(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
-    left = docs.join(dropped, "doc_id", "left_anti")
-    repeats = saved(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeats")
-    if not repeats.isEmpty():
-        one = left.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(repeats, "doc_id", "left_anti").unionByName(one)
-    return left.select(*docs.columns)
+    """One row, that with the least id, of each group linked by a similarity of 0.8 in five-word shingles.
+
+    Rows are told apart by a number, as ids may be null (they come last) or
+    repeat. Texts without words form no groups; of them, rows that repeat id and
+    text count once.
+    """
+    row = unused(docs, "__row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = parity_join.near_duplicates(rows, id_col=row, num=80, den=100, shingle=5)
+    groups = rows.select(row, "doc_id", F.xxhash64("text").alias("digest"), F.col("text").isNull().alias("none")).join(found, row)
+    repeats = F.col("n_shingles").eqNullSafe(0) & F.col("doc_id").isNotNull()
+    group = F.struct(F.when(~repeats, F.col("component_id")).alias("c"), F.when(repeats, F.struct("doc_id", "digest", "none")).alias("r"))
+    groups = saved(groups.select(group.alias("group"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", F.col(row).alias("row")).alias("place")), "groups")
+    # Written, so that the join can split a hot group.
+    kept = saved(groups.groupBy("group").agg(F.min("place").alias("best"), F.count("*").alias("n")).filter("n > 1").select("group", "best"), "kept")
+    dropped = saved(groups.join(kept, "group").filter(~F.col("place").eqNullSafe(F.col("best"))).select(F.col("place.row").alias(row)), "dropped")
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,13 @@ def test_pipeline_against_five_word_brute_force(spark, rows, tmp_path):
     for r in mixing.mix_plan(spark.createDataFrame(clean, SCHEMA)).collect():
         want[r.doc_id, hashlib.sha256(text[r.doc_id].encode()).hexdigest()] += r.passes
     assert Counter((r.doc_id, r.decoded_sha256) for r in pipeline.run(spark, str(tmp_path)).collect()) == +want and len(want) > 10
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    """Null ids are in groups too, and a repeated id's clean text stays when its other text is a copy."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, "x"), (7, a, "y"), (7, b, "z"), (None, c, "u"), (None, c, "v"), (None, c + " more", "w"), (None, a, "t"), (8, d, "p"), (8, d, "q"), (None, "", "e"), (None, "", "f"), (9, "", "g"), (9, "", "h"), (9, None, "i")]
+    out = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(3), "")
+    assert out.columns == ["doc_id", "text", "__row"]
+    got = Counter((r.doc_id, r.text and r.text.replace(" more", "")) for r in out.collect())
+    assert got == Counter({(1, a): 1, (7, b): 1, (None, c): 1, (8, d): 1, (None, ""): 2, (9, ""): 1, (9, None): 1})
