@@ -134,6 +134,55 @@ def sketch(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int)
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def sparse_sketch(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``sketch``, for similarities below 0.9, where chunks hold few shingles.
+
+    A band meets itself and each band that its sets can be linked with on their
+    own, with that pair's ``d``. ``s`` is half of ``d`` (2 at least), and a set
+    leaves out its smallest chunks: those of fewer shingles than its chunk of
+    rank ``s + 1``, so ``s`` at most. Of two sets, the one that leaves out
+    larger chunks leaves out every equal chunk that the other does, so of
+    ``s + 1`` equal chunks one remains in both.
+    """
+    if not len(row):
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    edges = band_edges(int(size.max()), num, den)
+    last = edges[1:] - 1
+    reach = np.searchsorted(edges, last * den // num, "right") - 1
+    band = np.searchsorted(edges, size, "right") - 1
+    bits, deal_by = mix(h ^ np.uint64(0x632BE59BD9B4E019)), mix(h ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(33)
+    rows, keys = [], []
+    widest = int((reach - np.arange(len(reach)))[: int(band.max()) + 1].max())
+    for low, gap in [(band - back, g) for g in range(widest + 1) for back in ({0, g})]:
+        real = (size > 0) & (low >= 0)
+        lo = np.where(real, low, 0)
+        hi = lo + gap
+        real &= hi <= reach[lo]
+        d = (last[lo] + np.minimum(last[np.minimum(hi, len(last) - 1)], last[lo] * den // num)) * (den - num) // (den + num)
+        real &= d > 0  # else only equal sets are linked
+        s = np.maximum(2, -(-d // 2))
+        k = np.where(real, d + 1 + s, 0)
+        base = np.cumsum(k) - k
+        use = real[row]
+        slot = base[row[use]] + (deal_by[use] % np.maximum(k[row[use]], 1).astype(np.uint64)).astype(np.int64)
+        by = np.argsort(slot, kind="stable")
+        ordered = slot[by]
+        heads = np.flatnonzero(~same_as_previous(ordered))
+        total = int(k.sum())
+        if not total:
+            continue
+        chunk, count = np.zeros(total, np.uint64), np.bincount(slot, minlength=total)
+        chunk[ordered[heads]] = np.bitwise_xor.reduceat(bits[use][by], heads)
+        of = np.repeat(np.arange(len(k)), k)
+        ranked = count[np.lexsort((count, of))]
+        least = ranked[np.minimum(base + s, total - 1)]
+        post = count >= least[of]
+        place = (lo[of].astype(np.uint64) << np.uint64(40)) | np.uint64(gap << 32) | (np.arange(total) - base[of]).astype(np.uint64)
+        rows.append(of[post])
+        keys.append(mix(chunk + mix(place))[post])
+    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
+
+
 def links_of(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs ``(i, j)`` among sets: all pairs if ``left`` is 0, else the first ``left`` against the others."""
     size = np.array([len(x) for x in sets], np.int64)
@@ -212,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             once = np.zeros(len(size), bool)
             once[first] = True
             use = once[row]
-            r, key = sketch(row[use], h[use], np.where(once, size, 0), num, den)
+            r, key = (sketch if 10 * num >= 9 * den else sparse_sketch)(row[use], h[use], np.where(once, size, 0), num, den)
             m = messages(deal(((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), 0, 0, key, s1[r]))
             yield from m.to_batches()
 

@@ -3,10 +3,11 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from test_search import LOWER, WORD, brute_components
 
-from epochal.llm import mixing, rules, surrogates
+from epochal.llm import mixing, parity_join, rules, surrogates
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,3 +61,27 @@ def test_stage_keeps_one_row_of_each_group(spark):
     assert out.columns == ["doc_id", "text", "__row"]
     got = Counter((r.doc_id, r.text and r.text.replace(" more", "")) for r in out.collect())
     assert got == Counter({(1, a): 1, (7, b): 1, (None, c): 1, (8, d): 1, (None, ""): 2, (9, ""): 1, (9, None): 1})
+
+
+def test_sparse_sketches_of_linked_sets_meet():
+    """Every pair at 0.8 shares a chunk; of unlike sets, few do (the dense sketch posts empty chunks here)."""
+    rng = np.random.default_rng(4)
+    new = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets, linked = [], []
+    for n in [1, 2, 4, 5, 9, 10, 20, 45, 100, 300, 1000] * 6:
+        both = new(n)
+        odd = n // 4  # union n + n // 4
+        cut = int(rng.integers(0, odd + 1))
+        sets += [np.sort(np.r_[both, new(cut)]), np.sort(np.r_[both, new(odd - cut)])]
+        linked.append(len(sets) - 2)
+    size = np.array([len(x) for x in sets])
+    row, h = np.repeat(np.arange(len(sets)), size).astype(np.int32), np.concatenate(sets)
+    meets = {}
+    for name in ("sketch", "sparse_sketch"):
+        r, key = getattr(parity_join, name)(row, h, size, 80, 100)
+        of = [set(key[r == i]) for i in range(len(sets))]
+        meets[name] = sum(bool(of[i] & of[j]) for i in range(len(sets)) for j in range(i) if i // 2 != j // 2)
+        if name == "sparse_sketch":
+            assert all(of[i] & of[i + 1] for i in linked if len(set(sets[i]) ^ set(sets[i + 1])))
+            assert (of[-1] and len(of[-1]) < 2000)
+    assert meets["sparse_sketch"] < meets["sketch"]
