@@ -33,14 +33,8 @@ def state_point_reads(spark: SparkSession, d: str) -> DataFrame:
     return st.get(_asks(spark, d), _state(spark, d), own).select("t_id", "key", "value")
 
 
-@query("SELECT o_orderkey AS t_id, count(*) AS keys, round(min(c_acctbal), 4) AS least, round(max(c_acctbal), 4) AS most FROM orders JOIN customer ON c_custkey % 8 = o_custkey % 8 WHERE o_orderkey % 50 = 0 GROUP BY 1")
-def state_partition_scan(spark: SparkSession, d: str) -> DataFrame:
-    s = st.get_all(_asks(spark, d).filter("t_id % 50 = 0"), _state(spark, d))
-    return s.groupBy("t_id").agg(F.count("*").alias("keys"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"))
-
-
 @query("SELECT o_orderkey AS t_id, keys, least, most FROM orders JOIN (SELECT c_custkey % 8 AS part, count(*) AS keys, round(min(c_acctbal), 4) AS least, round(max(c_acctbal), 4) AS most FROM customer GROUP BY 1) ON part = o_custkey % 8")
-def state_partition_scan_all(spark: SparkSession, d: str) -> DataFrame:
+def state_partition_scan(spark: SparkSession, d: str) -> DataFrame:
     """The scan of every request; a partition's totals are taken once."""
     totals = _state(spark, d).groupBy("operator", "part").agg(F.count("*").alias("keys"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"))
     return _asks(spark, d).join(totals, ["operator", "part"]).select("t_id", "keys", "least", "most")
@@ -70,10 +64,10 @@ def chain_participants(spark: SparkSession, d: str) -> DataFrame:
     return a.select("t_id", F.array_join("p", ",").alias("parts"), F.size("p").cast("long").alias("n"))
 
 
-@query("WITH " + b.SQL_RES + ", ra AS (SELECT DISTINCT key FROM acc WHERE mode = 'r'), wa AS (SELECT DISTINCT key FROM acc WHERE mode = 'w' AND epoch < 3) SELECT key, 'both' AS side FROM (SELECT * FROM ra INTERSECT SELECT * FROM wa) UNION ALL SELECT key, 'one' FROM ((SELECT * FROM ra EXCEPT SELECT * FROM wa) UNION (SELECT * FROM wa EXCEPT SELECT * FROM ra))")
+@query("WITH " + b.SQL_RES + ", ra AS (SELECT DISTINCT key FROM acc WHERE mode = 'r'), wa AS (SELECT DISTINCT key FROM acc WHERE mode = 'w') SELECT key, 'both' AS side FROM (SELECT * FROM ra INTERSECT SELECT * FROM wa) UNION ALL SELECT key, 'one' FROM ((SELECT * FROM ra EXCEPT SELECT * FROM wa) UNION (SELECT * FROM wa EXCEPT SELECT * FROM ra))")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
     a = b.live_accesses(b.requests(spark, d))
-    r, w = a.filter("mode = 'r'").select("key").distinct(), a.filter("mode = 'w' AND epoch < 3").select("key").distinct()
+    r, w = a.filter("mode = 'r'").select("key").distinct(), a.filter("mode = 'w'").select("key").distinct()
     both = r.intersect(w).withColumn("side", F.lit("both"))
     one = r.withColumn("r", F.lit(1)).join(w.withColumn("w", F.lit(1)), "key", "full_outer").filter("r IS NULL OR w IS NULL").select("key", F.lit("one").alias("side"))
     return both.unionByName(one)

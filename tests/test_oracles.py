@@ -1,7 +1,7 @@
 """Every query of the engine against its DuckDB twin on the smallest tables."""
 
 import pytest
-from conftest import DATA, same
+from twins import DATA, same
 
 from epochal.plans import registry
 
