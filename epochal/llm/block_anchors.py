@@ -7,8 +7,9 @@ window of ``LENGTH`` words holds a whole reference block in each of its places,
 so each of its places holds a hit. Hits are extended to windows of ``LENGTH``
 words; those that occur twice or more are the exact repeats, and runs of them
 the maximal ones. Probes carry 32 bits besides the bucket, so a false hit costs
-only work; windows are compared by 64 bits besides the bucket, which comes from
-another hash.
+only work. Windows are compared by 96 bits of two independent hashes besides the
+bucket, each a tree over the words' 64-bit hashes, which are multilinear: no two
+words or windows agree by their structure.
 
 A word counts as removed when any window over it occurs elsewhere, in the same
 document or another. Null text has no words. Null ids and repeated rows are
@@ -24,43 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import MESSAGE, as_blocks, bucket_count, deal, gather, in_sorted, messages, raw, same_as_previous
-from .common import Rolling, mix
+from .blocks import MESSAGE, as_blocks, bucket_count, deal, gather, in_sorted, messages, same_as_previous
+from .common import Hashes, released
+from .words import Words
 
 LENGTH = 35
 ANCHOR = 18
-_BYTES, _WORDS, _WORDS2 = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0x165667B19E3779F9)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-class Words:
-    """Places and hashes of all words of a block."""
-
-    def __init__(self, column: pa.ChunkedArray, lower: bool = False):
-        self.data, self.off = raw(column)
-        if lower:
-            self.data = _LOWER[self.data]
-        n = len(self.data)
-        solid = ~_SPACE[self.data]
-        first = np.zeros(n + 1, bool)
-        first[self.off] = True
-        before = np.r_[False, solid[:-1]] if n else solid
-        self.start = np.flatnonzero(solid & (~before | first[:n]))
-        after = np.r_[solid[1:], False] if n else solid
-        self.end = np.flatnonzero(solid & (~after | first[1:])) + 1
-        self.row = (np.searchsorted(self.off, self.start, "right") - 1).astype(np.int32)
-        self.first = np.searchsorted(self.start, self.off)  # first word of each row, and the number of words
-        p = _BYTES.prefix(_BYTES.symbols[self.data])
-        self.hash = mix(_BYTES.spans(p, self.start, self.end) + (self.end - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def windows(self, length: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each window by its first word, and whether it lies in one document."""
-        h = mix(rolling.windows(rolling.prefix(self.hash), length))
-        m = len(h)
-        return h, self.row[:m] == self.row[length - 1 : length - 1 + m] if m else np.zeros(0, bool)
+_ANCHORS, _ONE, _TWO = Hashes(0xC2B2AE3D27D4EB4F), Hashes(0x165667B19E3779F9), Hashes(0xD6E8FEB86659FD93)
 
 
 def _key(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -75,10 +46,10 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks, _ = as_blocks(docs, id_col, text_col)
     buckets = bucket_count(docs, 1.0)
 
+    @released
     def probe(t: pa.Table) -> pa.Table:
         w = Words(t.column("text"))
-        h, ok = w.windows(anchor, _WORDS)
-        at = np.flatnonzero(ok)
+        h, at = w.windows(anchor, _ANCHORS), np.flatnonzero(w.inside(anchor))
         key, ref = _key(h[at], buckets), (at - w.first[w.row[at]]) % anchor == 0
         by = np.argsort(key, kind="stable")
         key, ref = key[by], ref[by]
@@ -91,6 +62,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         key = key[heads]
         return messages(deal((key >> np.uint64(32)).astype(np.int32), t.column("blk")[0].as_py(), 0, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), is_ref.astype(np.uint8) | (many.astype(np.uint8) << 1)))
 
+    @released
     def match(t: pa.Table) -> pa.Table:
         (key, flags), src = gather(t, 0, np.uint32, np.uint8)
         by = np.argsort(key, kind="stable")
@@ -105,61 +77,60 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         b = t.column("dst")[0].as_py()
         return messages(deal(src[by][hit], b, 1, s[hit]))
 
+    @released
     def extend(t: pa.Table, m: pa.Table) -> pa.Table:
         if not t.num_rows or not m.num_rows:
             return messages([])
         (low,), b = gather(m, 1, np.uint32)
         hits = np.sort((b.astype(np.uint64) << np.uint64(32)) | low)
         w = Words(t.column("text"))
-        h, ok = w.windows(anchor, _WORDS)
-        live = np.r_[0, np.cumsum(ok & in_sorted(_key(h, buckets), hits))]
-        _, ok = w.windows(length, _WORDS)
-        at = np.flatnonzero(ok)
+        h = w.windows(anchor, _ANCHORS)
+        live = np.r_[0, np.cumsum(w.inside(anchor) & in_sorted(_key(h, buckets), hits))]
+        at = np.flatnonzero(w.inside(length))
         at = at[live[at + length - anchor + 1] > live[at]]
         if not len(at):
             return messages([])
-        h, other = _final(w, length)
-        h, other = h[at], other[at]
-        by = np.argsort(h, kind="stable")
-        h, other = h[by], other[by]
-        heads = np.flatnonzero(~same_as_previous(h))
-        many = np.diff(np.r_[heads, len(h)]) > 1
-        return messages(deal(other[heads], t.column("blk")[0].as_py(), 2, h[heads], many.astype(np.uint8)))
-
-    def _final(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """64 bits of each window, and its bucket from another hash."""
-        return w.windows(n, _WORDS)[0], (w.windows(n, _WORDS2)[0] % np.uint64(buckets)).astype(np.int32)
-
+        one, two, bucket = prints(w, at)
+        by = np.lexsort((two, one))
+        one, two, bucket = one[by], two[by], bucket[by]
+        heads = np.flatnonzero(~same_as_previous(one, two))
+        many = np.diff(np.r_[heads, len(one)]) > 1
+        return messages(deal(bucket[heads], t.column("blk")[0].as_py(), 2, one[heads], two[heads], many.astype(np.uint8)))
+
+    def prints(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """96 bits of each window from ``at``, and its bucket."""
+        two = w.windows(length, _TWO)[at]
+        return w.windows(length, _ONE)[at], two.astype(np.uint32), ((two >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+    @released
     def decide(t: pa.Table) -> pa.Table:
-        (h, many), src = gather(t, 2, np.uint64, np.uint8)
-        by = np.argsort(h, kind="stable")
-        s = h[by]
-        heads = np.flatnonzero(~same_as_previous(s))
+        (one, two, many), src = gather(t, 2, np.uint64, np.uint32, np.uint8)
+        by = np.lexsort((two, one))
+        x, y = one[by], two[by]
+        heads = np.flatnonzero(~same_as_previous(x, y))
         if not len(heads):
             return messages([])
-        size = np.diff(np.r_[heads, len(s)])
+        size = np.diff(np.r_[heads, len(x)])
         hit = np.repeat((size > 1) | (np.maximum.reduceat(many[by], heads) > 0), size)
-        return messages(deal(src[by][hit], t.column("dst")[0].as_py(), 3, s[hit]))
+        return messages(deal(src[by][hit], t.column("dst")[0].as_py(), 3, x[hit], y[hit]))
 
+    @released
     def remove(t: pa.Table, m: pa.Table) -> pa.Table:
         w = Words(t.column("text"))
         gone = np.zeros(len(w.start) + 1, np.int64)
         if m.num_rows:
-            (h,), b = gather(m, 3, np.uint64)
-            mine, bucket = _final(w, length)
-            _, ok = w.windows(length, _WORDS)
-            by = np.lexsort((b, h))
-            h, b = h[by], b[by]
-            at = np.flatnonzero(ok & in_sorted(mine, h))
-            # A hash may be a repeat in one bucket only; the bucket must agree.
-            i = np.searchsorted(h, mine[at])
-            j = np.searchsorted(h, mine[at], "right")
-            good = b[i] == bucket[at]
-            for x in np.flatnonzero(~good & (j - i > 1)):
-                good[x] = bucket[at[x]] in b[i[x] : j[x]]
-            at = at[good]
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + length, -1)
+            (one, two), bucket = gather(m, 3, np.uint64, np.uint32)
+            at = np.flatnonzero(w.inside(length) & in_sorted(w.windows(length, _ONE), np.sort(one)))
+            mine, also, where = prints(w, at)
+            # Repeats and the block's windows in one order; a window takes part when a repeat is equal to it.
+            x, y, z = np.r_[one, mine], np.r_[two, also], np.r_[bucket, where]
+            told = np.arange(len(x)) < len(one)
+            by = np.lexsort((~told, z, y, x))
+            group = np.cumsum(~same_as_previous(x[by], y[by], z[by])) - 1
+            found = told[by][np.flatnonzero(np.r_[True, group[1:] != group[:-1]])][group] if len(group) else told
+            hit = by[found & ~told[by]] - len(one)
+            np.add.at(gone, at[hit], 1)
+            np.add.at(gone, at[hit] + length, -1)
         gone = np.cumsum(gone)[:-1] > 0
         n_words, n_removed, spans, shas = [], [], [], []
         data = w.data.tobytes()

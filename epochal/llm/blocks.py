@@ -37,10 +37,11 @@ def bucket_count(docs: DataFrame, bytes_per_text_byte: float) -> int:
     return max(n, int(2 * size * bytes_per_text_byte) // BUCKET_BYTES) if size is not None else n
 
 
-def raw(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def raw(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column, and the offsets of its rows (one more than rows)."""
     a = pc.fill_null(column.cast(pa.large_binary()), b"")
-    a = pa.concat_arrays(a.chunks) if a.num_chunks != 1 else a.chunk(0)
+    if isinstance(a, pa.ChunkedArray):
+        a = pa.concat_arrays(a.chunks) if a.num_chunks != 1 else a.chunk(0)
     if not len(a):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]

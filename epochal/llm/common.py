@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
+import sys
+from functools import wraps
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +70,59 @@ def distributed_rank(df: DataFrame, keys: list[str], order: list[str], out: str,
     return ranked.join(counts, [*k, b]).withColumn(out, F.col(out) + F.col("__before") - 1).drop(*k, b, "__before")
 
 
+# --- memory of Python workers -------------------------------------------------
+
+#: Bytes of text that one step of a batch function works on at once.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
+    """Parts of a batch with about ``limit`` bytes in ``column`` each, a row at least."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    part = np.cumsum(size) // limit
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for a, b in zip(cuts, [*cuts[1:], len(part)]):
+        yield batch.slice(int(a), int(b - a))
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on from task to task, and beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(f):
+    """``f``, a function of a group or of a task's batches, with ``release`` at its end."""
+
+    if inspect.isgeneratorfunction(f):
+
+        @wraps(f)
+        def task(*args):
+            try:
+                yield from f(*args)
+            finally:
+                release()
+
+        return task
+
+    @wraps(f)
+    def group(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    group.__signature__ = inspect.signature(f)
+    return group
+
+
 # --- 64-bit hashes in numpy -------------------------------------------------
+#
+# Strings are hashed by sums of their symbols times random 64-bit numbers, one
+# for each place (a multilinear hash), and windows of numbers by trees of such
+# sums. Unlike polynomials modulo 2**64, neither has words that agree whatever
+# the random numbers are (Thue-Morse words do so there).
 
 _M = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -79,49 +138,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Hashes of substrings of a byte or number sequence, modulo 2**64, from prefix sums.
-
-    Each symbol is replaced by a random 64-bit value and multiplied by a power
-    of an odd base; the inverse power makes a substring's sum independent of its
-    place.
-    """
-
-    def __init__(self, base: int):
-        self.base = base | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.symbols = np.random.default_rng(base % (1 << 32)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 2 * len(self.powers))
-            for name, x in (("powers", self.base), ("inverses", self.inverse)):
-                out = np.empty(n, np.uint64)
-                out[0] = 1
-                have = 1
-                while have < n:
-                    more = min(have, n - have)
-                    out[have : have + more] = out[:more] * np.uint64(pow(x, have, 1 << 64))
-                    have += more
-                setattr(self, name, out)
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums of 64-bit values, one longer than they are."""
-        n = len(values)
-        self.grow(n + 1)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.powers[:n], out=out[1:])
+class Hashes:
+    """A family of hashes, drawn from a seed."""
+
+    TABLE = 4096
+
+    def __init__(self, seed: int):
+        self.seed = np.uint64(seed)
+        self.table = self._draw(np.arange(self.TABLE))
+
+    def _draw(self, place: np.ndarray) -> np.ndarray:
+        return mix(mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.seed) ^ self.seed)
+
+    def places(self, n: int) -> np.ndarray:
+        """The random numbers of the first ``n`` places; those beyond the table are drawn again each time."""
+        return self.table[:n] if n <= self.TABLE else np.r_[self.table, self._draw(np.arange(self.TABLE, n))]
+
+    def strings(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+        """Hashes of the byte strings ``data[start:end]``, of a byte at least each; ``step`` bytes or one string at a time."""
+        size = end - start
+        part = np.cumsum(size) // step
+        cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(size)] if len(size) else [0]
+        out = np.empty(len(size), np.uint64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            n = size[a:b]
+            first = np.cumsum(n) - n
+            at = np.arange(int(n.sum()))
+            value = self.places(int(n.max()))[at - np.repeat(first, n)]
+            at += np.repeat(start[a:b] - first, n)
+            value *= data[at].astype(np.uint64) + np.uint64(1)
+            out[a:b] = np.add.reduceat(value, first)
+        return mix(out + size.astype(np.uint64) * self.seed)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a * (self.table[0] | np.uint64(1)) + mix(b ^ self.table[1]))
+
+    def windows(self, values: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of all windows of ``length`` numbers, by start: a tree of windows of 1, 2, 4, ... numbers."""
+        if len(values) < length:
+            return np.zeros(0, np.uint64)
+        h, have = mix(values ^ self.seed), 1
+        while have < length:
+            step = min(have, length - have)
+            h, have = self.pairs(h[: len(h) - step], h[step:]), have + step
+        return h
+
+    def sequences(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of whole runs of numbers ``values[start:end]``, a few numbers each."""
+        out = mix((end - start).astype(np.uint64) * self.table[2])
+        for k in range(int((end - start).max()) if len(start) else 0):
+            more = np.flatnonzero(start + k < end)
+            out[more] = self.pairs(out[more], values[start[more] + k])
         return out
 
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (prefix[end] - prefix[start]) * self.inverses[start]
-
-    def windows(self, prefix: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of all windows of ``length`` symbols, by start."""
-        n = len(prefix) - length
-        return (prefix[length:] - prefix[:n]) * self.inverses[:n] if n > 0 else np.zeros(0, np.uint64)
-
 
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that no column of ``df`` has."""

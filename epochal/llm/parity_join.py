@@ -11,39 +11,45 @@ in shingles, so of ``k = d + 1 + s`` chunks at least ``s + 1`` are equal
 ``s`` at most; an equal chunk is left out by both or none, so one equal chunk
 remains. Equal chunks make candidates.
 
-Sets that are equal form a class and take part once. Chunks that meet in a
-bucket give a star from the least class, not all pairs. The stars' components
-are the candidate groups: each is verified exactly with its sets' hashes, all
-pairs of a group by products of blocks of its incidence matrix. A group of more
-than ``CHUNK`` classes is verified in pairs of hash parts of that size, each a
-task of its own, so no group must fit in one task. A task returns a spanning
-forest of its links and each class's number of links.
+Sets that are equal form a class and take part once. Equal chunks make a star
+from the least class, not all pairs: first within a task, so that a chunk that
+is everywhere costs one entry a task, then in the chunk's bucket. The stars'
+components are the candidate groups. A group is verified exactly with its sets'
+hashes: pairs whose parity sketches of ``SKETCH_BITS`` bits lie further apart
+than linked sets may are out, as the Hamming distance is a lower bound of the
+symmetric difference; the rest are counted, pair by pair or by products of
+blocks of the group's incidence matrix. A group of more than ``CHUNK`` classes
+is verified in pairs of hash parts of that size, each a group of its own, so no
+group must fit in one task. A part gives a spanning forest of its links and each
+class's number of links.
 
 Documents without words have an empty set, no links, and their own component;
 null text likewise. Repeated rows are copies of each other. A null id belongs to
 a component but never names it unless all its ids are null. Extra columns are
-ignored. Shingles are compared by 64-bit hashes, classes by 128 bits.
+ignored. Texts may be of any length. Words and shingles are compared by 64-bit
+hashes without common structure, sets by 128 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block_anchors import Words
 from .blocks import MESSAGE, bucket_count, deal, gather, messages, same_as_previous
-from .common import Rolling, mix, saved, shuffle_partitions
+from .common import Hashes, mix, released, saved, shuffle_partitions, slices
+from .words import Words
 from ..operators.components import components
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
-CHUNK = 512
-SLICE_BYTES = 2 << 20
-#: Rows (of two numbers) up to which the list of documents to verify is broadcast; beyond it is joined by a shuffle.
-BROADCAST_ROWS = 200_000
-_SEQUENCE = Rolling(0xE7037ED1A0B428DB)
+CHUNK = 256
+SKETCH_BITS = 4096
+#: Chunks that a task gathers before it reduces them to stars.
+POSTS = 1 << 20
+_SEQUENCE = Hashes(0xE7037ED1A0B428DB)
 
 
 def band_edges(limit: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
@@ -56,27 +62,16 @@ def band_edges(limit: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.n
     return np.array(t, np.int64)
 
 
-def slices(t: pa.Table, column: str):
-    """Parts of a table with about ``SLICE_BYTES`` of text each."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(t.column(column)), 0), np.int64)
-    part = np.cumsum(size) // SLICE_BYTES
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    for a, b in zip(cuts, [*cuts[1:], len(part)]):
-        yield t.slice(int(a), int(b - a))
-
-
-def shingle_sets(column: pa.ChunkedArray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.ChunkedArray | pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows' distinct shingles: row and hash, sorted by both, and the set sizes."""
     w = Words(column, lower=True)
     rows = len(w.off) - 1
-    h, ok = w.windows(n, _SEQUENCE)
-    at = np.flatnonzero(ok)
+    h, at = w.windows(n, _SEQUENCE), np.flatnonzero(w.inside(n))
     row, h = w.row[at], h[at]
     count = np.diff(w.first)
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
-        p = _SEQUENCE.prefix(w.hash)
-        whole = mix(_SEQUENCE.spans(p, w.first[short], w.first[short + 1]) ^ (count[short].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        whole = _SEQUENCE.sequences(w.hash, w.first[short], w.first[short + 1])
         row, h = np.r_[row, short.astype(np.int32)], np.r_[h, whole]
     by = np.lexsort((h, row))
     row, h = row[by], h[by]
@@ -183,16 +178,34 @@ def sparse_sketch(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, de
     return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
 
 
+def may_link(sets: list[np.ndarray], left: int, num: int, den: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Pairs whose parity sketches lie near enough, as a matrix: rows the first ``left`` sets (0: all), columns the others."""
+    g, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    place = np.repeat(np.arange(g) * bits, size) + (mix(np.concatenate(sets) ^ np.uint64(0x3C79AC492BA7B653)) % np.uint64(bits)).astype(np.int64)
+    sketch = (np.bincount(place, minlength=g * bits) & 1).astype(np.float32).reshape(g, bits)
+    a, b = (slice(0, left), slice(left, g)) if left else (slice(0, g), slice(0, g))
+    ones = sketch.sum(axis=1)
+    distance = ones[a][:, None] + ones[b][None, :] - 2 * (sketch[a] @ sketch[b].T)
+    return distance * (den + num) <= (den - num) * (size[a][:, None] + size[b][None, :])
+
+
 def links_of(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs ``(i, j)`` among sets: all pairs if ``left`` is 0, else the first ``left`` against the others."""
     size = np.array([len(x) for x in sets], np.int64)
     g = len(sets)
     if g == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        ok = den * both >= num * (size.sum() - both)
-        return (np.array([0]), np.array([1])) if ok else (np.zeros(0, int), np.zeros(0, int))
-    col = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    row = np.repeat(np.arange(g), size)
+        i, j = np.array([0]), np.array([1])
+    else:
+        i, j = np.nonzero(may_link(sets, left, num, den))
+        i, j = (i, j + left) if left else (i[i < j], j[i < j])
+    if len(i) <= 2 * g:
+        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+        ok = den * both >= num * (size[i] + size[j] - both)
+        return i[ok], j[ok]
+    used = np.zeros(g, bool)
+    used[i] = used[j] = True
+    row = np.repeat(np.arange(g), np.where(used, size, 0))
+    col = np.unique(np.concatenate([x for x, y in zip(sets, used) if y]), return_inverse=True)[1]
     n = np.bincount(col)
     keep = n[col] > 1  # a shingle of one set is in no intersection
     row, col = row[keep], np.cumsum(n > 1)[col[keep]] - 1
@@ -201,17 +214,15 @@ def links_of(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.
     wide = int(col[-1]) + 1 if len(col) else 0
     a, b = (slice(0, left), slice(left, g)) if left else (slice(0, g), slice(0, g))
     both = np.zeros((a.stop - a.start, b.stop - b.start), np.float64)
-    step = max(1024, (1 << 24) // max(g, 1))
+    step = max(1024, (1 << 22) // max(g, 1))
     for at in range(0, wide, step):
         lo, hi = np.searchsorted(col, (at, at + step))
         m = np.zeros((g, min(step, wide - at)), np.float32)
         m[row[lo:hi], col[lo:hi] - at] = 1
         both += m[a] @ m[b].T
-    union = size[a][:, None] + size[b][None, :] - both
-    i, j = np.nonzero(den * both >= num * union)
-    if left:
-        return i, j + left
-    return i[i < j], j[i < j]
+    both = both[i, j - left]
+    ok = den * both >= num * (size[i] + size[j] - both)
+    return i[ok], j[ok]
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -235,36 +246,64 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _tables(batches):
-    for b in batches:
-        yield from slices(pa.Table.from_batches([b]), "text")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUMERATOR, den: int = DENOMINATOR, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """Per document: id, n_shingles, component_id (least id reachable by links), n_links."""
     spark = docs.sparkSession
     late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), late).alias("ord"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     buckets = bucket_count(docs, 0.7)
+    kind = dict(docs.dtypes)[id_col]
+    chunks_of = sketch if 10 * num >= 9 * den else sparse_sketch
 
+    @released
     def describe(batches):
-        for t in _tables(batches):
+        """Sizes, signatures and chunks of sets; of a task's equal sets, one posts its chunks."""
+        seen = set()
+        for t in (x for b in batches for x in slices(b, "text")):
             row, h, size = shingle_sets(t.column("text"), shingle)
             s1, s2 = signatures(row, h, size)
-            yield pa.RecordBatch.from_arrays([t.column("ord").combine_chunks(), t.column("id").combine_chunks(), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=["ord", "id", "n", "s1", "s2"])
-
-    def post(batches):
-        for t in _tables(batches):
-            row, h, size = shingle_sets(t.column("text"), shingle)
-            s1, s2 = signatures(row, h, size)
-            _, first = np.unique(np.stack([s1, s2]), axis=1, return_index=True) if len(s1) > 1 else (None, np.arange(len(s1)))
             once = np.zeros(len(size), bool)
-            once[first] = True
+            for i, s in enumerate(zip(s1.tolist(), s2.tolist())):
+                if size[i] and s not in seen:
+                    seen.add(s)
+                    once[i] = True
             use = once[row]
-            r, key = (sketch if 10 * num >= 9 * den else sparse_sketch)(row[use], h[use], np.where(once, size, 0), num, den)
-            m = messages(deal(((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), 0, 0, key, s1[r]))
-            yield from m.to_batches()
+            r, key = chunks_of(row[use], h[use], np.where(once, size, 0), num, den)
+            by = np.argsort(r, kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(r, minlength=len(size)))].astype(np.int32) * 8
+            keys = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(key[by])])
+            yield pa.RecordBatch.from_arrays([t.column("ord"), t.column("id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), keys], names=["ord", "id", "n", "s1", "s2", "keys"])
 
+    @released
+    def post(batches):
+        """A task's stars: each chunk's least set goes to the chunk's bucket, the others hang on it at once."""
+        held, n = [], 0
+
+        def reduced():
+            key, s = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held])
+            by = np.lexsort((s, key))
+            key, s = key[by], s[by]
+            lead = ~same_as_previous(key)
+            to = s[np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))]
+            edge = to != s
+            out = deal(((key[lead] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), 0, 0, key[lead], s[lead])
+            pairs = np.unique(np.stack([to[edge], s[edge]]), axis=1) if edge.any() else np.zeros((2, 0), np.int64)
+            out += deal((mix(pairs[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), 0, 1, pairs[0].view(np.uint64), pairs[1])
+            return messages(out).to_batches()
+
+        for b in batches:
+            raw, s1 = b.column(1), np.asarray(b.column(0), np.int64)
+            size = np.asarray(pc.binary_length(raw), np.int64) // 8
+            data = np.frombuffer(raw.buffers()[2], np.uint64, int(size.sum()), int(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset])) if size.sum() else np.zeros(0, np.uint64)
+            held.append((data, np.repeat(s1, size)))
+            n += len(data)
+            if n >= POSTS:
+                yield from reduced()
+                held, n = [], 0
+        if held:
+            yield from reduced()
+
+    @released
     def meet(t: pa.Table) -> pa.Table:
         (key, c), _ = gather(t, 0, np.uint64, np.int64)
         by = np.lexsort((c, key))
@@ -272,44 +311,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = same_as_previous(key)
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(key)))) if len(key) else np.zeros(0, int)
         edge = again & (c[lead] != c)
-        pairs = np.unique(np.stack([c[lead][edge], c[edge]]), axis=1) if edge.any() else np.zeros((2, 0), np.int64)
+        (a, b), _ = gather(t, 1, np.int64, np.int64)
+        pairs = np.unique(np.stack([np.r_[c[lead][edge], a], np.r_[c[edge], b]]), axis=1)
         return pa.Table.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
-    kind = dict(docs.dtypes)[id_col]
-    described = saved(texts.mapInArrow(describe, f"ord long, id {kind}, n long, s1 long, s2 long"), "sets")
-    classes = saved(described.filter("n > 0").groupBy("s1").agg(F.min("ord").alias("rep"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
-    stars = texts.mapInArrow(post, MESSAGE).groupBy("dst").applyInArrow(meet, "a long, b long").distinct()
-    groups = components(stars, "candidates")
+    described = saved(texts.mapInArrow(describe, f"ord long, id {kind}, n long, s1 long, s2 long, keys binary"), "sets")
+    classes = described.filter("n > 0").groupBy("s1", "s2").agg(F.min("ord").alias("rep"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    posts = described.filter("length(keys) > 0").select("s1", "keys").mapInArrow(post, MESSAGE)
+    groups = components(posts.groupBy("dst").applyInArrow(meet, "a long, b long"), "candidates")
 
-    # Written, as ``least`` below, so that the joins can split a hot group.
-    members = saved(groups.join(classes, groups["v"] == classes["s1"]).select("root", "s1", "rep", "copies", "n"), "members")
+    # Written, as ``least`` below, so that the joins can split a hot group. Sets that agree in 64 bits only are candidates more.
+    members = saved(groups.join(classes, groups["v"] == classes["s1"]).select("root", "c", "s1", "s2", "rep", "copies", "n"), "members")
     sizes = saved(members.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("weight")), "sizes")
     parts = F.ceil(F.greatest(F.col("g") / chunk, F.col("weight") / (chunk * 4096))).cast("int")
-    members = saved(members.join(sizes, "root").withColumn("parts", parts), "members")
-    total, weight = members.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0))).first()
+    members = saved(members.join(sizes, "root").withColumn("parts", parts).drop("g", "weight"), "members")
+    weight = members.agg(F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0))).first()[0]
     tasks = max(shuffle_partitions(spark), weight * 8 // (8 << 20))
 
-    wanted = members.select("rep", "s1", "root", "parts", "copies")
-    chosen = texts.join(F.broadcast(wanted) if total <= BROADCAST_ROWS else wanted.hint("shuffle_hash"), texts["ord"] == wanted["rep"]).select("s1", "root", "parts", "copies", "text")
+    wanted = members.select("rep", "c", "s1", "s2", "root", "parts", "copies")
+    chosen = texts.join(wanted, texts["ord"] == wanted["rep"]).select("c", "s1", "s2", "root", "parts", "copies", "text")
 
+    @released
     def sets(batches):
-        for t in _tables(batches):
+        for t in (x for b in batches for x in slices(b, "text")):
             row, h, size = shingle_sets(t.column("text"), shingle)
-            s1, _ = signatures(row, h, size)
-            ends = np.cumsum(size)
-            good = np.asarray(t.column("s1"), np.int64) == s1  # rows that repeat an id may hold another text
-            data = [h[e - k : e].tobytes() for k, e in zip(size.tolist(), ends.tolist())]
-            t = t.select(["s1", "root", "parts", "copies"]).append_column("data", pa.array(data, pa.binary())).filter(pa.array(good))
-            yield from t.to_batches()
-
-    prepared = chosen.mapInArrow(sets, "s1 long, root long, parts int, copies long, data binary")
-    own = F.pmod(F.xxhash64("s1", F.lit(3)), F.col("parts")).cast("int")
+            s1, s2 = signatures(row, h, size)
+            good = (np.asarray(t.column("s1"), np.int64) == s1) & (np.asarray(t.column("s2"), np.int64) == s2)  # rows that repeat an id may hold another text
+            ends = np.r_[0, np.cumsum(size)].astype(np.int32) * 8
+            data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(h)])
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("c", "root", "parts", "copies")), data], names=["c", "root", "parts", "copies", "data"]).filter(pa.array(good))
+
+    prepared = chosen.mapInArrow(sets, "c long, root long, parts int, copies long, data binary")
+    own = F.pmod(F.xxhash64("c", F.lit(3)), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    dealt = prepared.select("s1", "root", "copies", own.alias("part"), F.explode(pairs).alias("p"), "data")
-    dealt = dealt.select("s1", "root", "copies", "part", "p.i", "p.j", "data", F.pmod(F.xxhash64("root", "p.i", "p.j"), F.lit(int(tasks))).alias("task"))
+    dealt = prepared.select("c", "root", "copies", own.alias("part"), F.explode(pairs).alias("p"), "data")
+    dealt = dealt.select("c", "root", "copies", "part", "p.i", "p.j", "data", F.pmod(F.xxhash64("root", "p.i", "p.j"), F.lit(int(tasks))).alias("task"))
 
+    @released
     def verify(t: pa.Table) -> pa.Table:
-        key = np.stack([np.asarray(t.column(c), np.int64) for c in ("s1", "part", "j", "i", "root")])
+        key = np.stack([np.asarray(t.column(x), np.int64) for x in ("c", "part", "j", "i", "root")])
         copies, data = np.asarray(t.column("copies"), np.int64), t.column("data")
         by = np.lexsort(key)
         root, i, j = key[4][by], key[3][by], key[2][by]
@@ -321,29 +362,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             left = int((key[1][at] == key[3][at]).sum()) if key[3][at[0]] != key[2][at[0]] else 0
             if len(at) < 2 or left == len(at) or (key[3][at[0]] != key[2][at[0]] and not left):
                 continue
-            s1 = key[0][at]
+            c = key[0][at]
             x, y = links_of([np.frombuffer(data[int(r)].as_buffer(), np.uint64) for r in at], left, num, den)
             links = np.bincount(x, copies[at][y], len(at)) + np.bincount(y, copies[at][x], len(at))
             some = np.flatnonzero(links)
-            a += s1[some].tolist()
+            a += c[some].tolist()
             b += [None] * len(some)
             deg += links[some].astype(np.int64).tolist()
             for p, q in forest(len(at), x, y):
-                a.append(int(s1[p]))
-                b.append(int(s1[q]))
+                a.append(int(c[p]))
+                b.append(int(c[q]))
                 deg.append(0)
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(deg, pa.int64())], names=["a", "b", "links"])
 
     verified = saved(dealt.groupBy("task").applyInArrow(verify, "a long, b long, links long"), "links")
     roots = components(verified.filter("b IS NOT NULL").select("a", "b"), "linked")
     degree = verified.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
-    labelled = classes.join(roots, classes["s1"] == roots["v"], "left").join(degree, classes["s1"] == degree["a"], "left")
-    labelled = labelled.select("s1", F.coalesce("root", "s1").alias("root"), "least", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    labelled = classes.join(roots, classes["c"] == roots["v"], "left").join(degree, classes["c"] == degree["a"], "left")
+    labelled = labelled.select("s1", "s2", F.coalesce("root", "c").alias("root"), "least", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     labelled = saved(labelled, "labels")
     least = saved(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    labelled = labelled.join(least, "root").select("s1", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    own_set = F.when(F.col("n") > 0, F.col("s1"))
-    out = described.withColumn("own", own_set).join(labelled.withColumnRenamed("s1", "own"), "own", "left")
+    labelled = labelled.join(least, "root").select("s1", "s2", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    own_set = [F.when(F.col("n") > 0, F.col(s)).alias(s) for s in ("s1", "s2")]
+    out = described.select("id", "n", *own_set).join(labelled, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

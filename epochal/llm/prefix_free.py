@@ -10,30 +10,34 @@ overlap, and none is a proper prefix of another with the same windows.
 
 1. Parse: each block cuts its texts into phrases and keeps the first place of
    each distinct phrase (the dictionary); other places are repeats already.
-2. The parses of all blocks meet in buckets, sorted by the bytes that any window
-   of a phrase holds (the context after its trigger), then by phrase, then by
-   place in the corpus (document id, offset). Within a run of equal phrases all
-   but the first place are repeats. A context with one distinct phrase needs no
-   more: none of its windows occurs elsewhere.
-3. Phrases that share a context with another one are sent to the bucket as
-   strings, once each. Prefix doubling sorts the suffixes of this dictionary,
-   cut to ``LENGTH`` bytes; with the first places from the parse, each class of
-   equal windows is a run of the suffix order in corpus order: the first stays,
-   the others are repeats.
+2. The parses of all blocks meet in buckets and are sorted by the bytes that any
+   window of a phrase holds (the context after its trigger), then by phrase, then
+   by place in the corpus (document id, offset). This is the parse's suffix order
+   to a depth of one phrase, which is enough: a window lies in one phrase. Within
+   a run of equal phrases all but the first place are repeats. A context with one
+   distinct phrase needs no more: none of its windows occurs elsewhere.
+3. Each block sorts the suffixes of its dictionary's phrases that share a context
+   with others, by prefix doubling to a depth of ``LENGTH`` bytes. A class of
+   equal windows is a run of the suffix array; the parse's first places give it
+   in corpus order: the first stays, the others are repeats.
+4. The blocks' orders are merged: of each class its first place goes to a bucket
+   chosen by the window's bytes, and the classes that several blocks hold keep
+   their first place there.
 
 Suffixes are compared to a depth of ``LENGTH`` bytes only, which is all that
-dedup asks for; a longer order would give the same removals. Equal phrases are
-told by fingerprints (64 bits besides bucket and context bits, from other
-hashes), different ones by their bytes. A context with more than ``SPREAD``
-distinct phrases (a passage that very many documents share, each with other
-neighbours) would be too much for one task: its phrases' suffixes are dealt to
-all buckets by fingerprint instead, and compared in the same way.
+dedup asks for; a longer order would give the same removals. A window or phrase
+that is everywhere costs one entry a block, and a context that very many phrases
+share is dealt out by their windows, so no task holds all of either. Between
+blocks, phrases and windows are told by fingerprints of 64 bits besides those of
+bucket and context, which come from other hashes; within a block windows are
+compared by their bytes.
 
 A byte is removed when some window of ``LENGTH`` bytes over it also starts
 earlier: in a document with a smaller id, or further left in its own. Null text
 is empty; null ids come after all others, ordered by text; repeated rows with
-one id are ordered by text. Texts shorter than a window stay whole. Ids must be
-whole numbers. An empty table gives an empty result.
+one id are ordered by text. Texts shorter than a window stay whole; a text is
+never cut, and a task holds some ten 8-byte numbers for each byte of its longest.
+Ids must be whole numbers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,21 +48,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import MESSAGE, as_blocks, bucket_count, deal, gather, messages, pack, passed_on, raw, same_as_previous, unpack
-from .common import Rolling, mix
+from .blocks import MESSAGE, as_blocks, bucket_count, deal, gather, messages, passed_on, raw, same_as_previous
+from .common import Hashes, mix, released
 
 LENGTH = 100
 GRAM = 16
 REACH = 64
 #: Bytes of text in a block; a task holds some ten 8-byte numbers a byte.
 BLOCK = 5 << 19
-#: Distinct phrases of one context up to which one task sorts their suffixes.
-SPREAD = 2048
-_ONE, _TWO, _THREE = Rolling(0x9E3779B97F4A7C15), Rolling(0xD6E8FEB86659FD93), Rolling(0xA0761D6478BD642F)
-_DEALT, _COVERED, _DETAIL, _SPREAD, _PHRASE, _WINDOW = 0, 1, 2, 3, 4, 5
+_GRAMS, _ONE, _TWO = Hashes(0x9E3779B97F4A7C15), Hashes(0xD6E8FEB86659FD93), Hashes(0xA0761D6478BD642F)
+_DEALT, _COVERED, _DETAIL, _WINDOW = 0, 1, 2, 3
 _PLACE = (np.int64, np.uint32, np.uint32)  # order of the document, start, end
 
 
+class Octets:
+    """Hashes of byte strings of eight bytes or more, from the mixed values of all eight successive bytes."""
+
+    def __init__(self, data: np.ndarray):
+        key = data.astype(np.uint64) if len(data) >= 8 else np.zeros(0, np.uint64)
+        for wide in (1, 2, 4):
+            key = (key[:-wide] << np.uint64(8 * wide)) | key[wide:]
+        self.mixed = mix(key ^ np.uint64(0x5851F42D4C957F2D))
+
+    def spans(self, hashes: Hashes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of the strings of ``size`` bytes from ``start``."""
+        h = size.astype(np.uint64) * hashes.table[-1] + self.mixed[start + size - 8] * (hashes.table[-2] | np.uint64(1))
+        wide = int(size.max()) if len(size) else 0
+        for k, r in enumerate(hashes.places(wide // 8)):
+            longer = np.flatnonzero(size > 8 * k + 8)
+            if len(longer) == len(h):
+                h += self.mixed[start + 8 * k] * (r | np.uint64(1))
+            else:
+                h[longer] += self.mixed[start[longer] + 8 * k] * (r | np.uint64(1))
+        return mix(h)
+
+    def windows(self, hashes: Hashes, length: int) -> np.ndarray:
+        """Hashes of all windows of ``length`` bytes, by start."""
+        m = max(0, len(self.mixed) + 8 - length)
+        h = np.zeros(m, np.uint64)
+        for k, r in zip([*range(0, length - 8, 8), length - 8], hashes.table):
+            h += self.mixed[k : k + m] * (r | np.uint64(1))
+        return mix(h)
+
+
 class Text:
     """The texts of a block, in order of document and text."""
 
@@ -102,8 +134,8 @@ def phrases(x: Text, gram: int = GRAM, reach: int = REACH) -> tuple[np.ndarray,
     if not len(at):
         z = np.zeros(0, np.int64)
         return z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64)
-    p = _ONE.prefix(_ONE.symbols[x.data])
-    g = mix(_ONE.windows(p, gram))
+    octets = Octets(x.data)
+    g = octets.windows(_GRAMS, gram)
     least = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
     step, have = 1, 1
     while have < reach:  # minima of 2, 4, ... successive grams
@@ -115,10 +147,9 @@ def phrases(x: Text, gram: int = GRAM, reach: int = REACH) -> tuple[np.ndarray,
     heads = np.flatnonzero(new)
     tails = np.r_[heads[1:], len(at)] - 1
     start, end, t = at[heads], at[tails] + x.length, trigger[heads]
-    context = mix(_ONE.spans(p, t, t + (x.length - reach + 1)))
-    q = _TWO.prefix(_TWO.symbols[x.data])
-    phrase = mix(_TWO.spans(q, start, end) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    bucket = mix(_TWO.spans(q, t, t + (x.length - reach + 1)) ^ np.uint64(0x5851F42D4C957F2D))
+    common = np.full(len(t), x.length - reach + 1)
+    context, bucket = octets.spans(_ONE, t, common), octets.spans(_TWO, t, common)
+    phrase = octets.spans(_TWO, start, end - start)
     return start, end, context, phrase, bucket
 
 
@@ -141,13 +172,16 @@ def _strings(x: Text, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return x.data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, reach: int = REACH, spread: int = SPREAD) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, reach: int = REACH) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes left)."""
     if gram + reach - 1 > length:
         raise ValueError("a window must hold the grams that choose its trigger")
+    if gram < 8:
+        raise ValueError("a gram has eight bytes at least")
     blocks, _ = as_blocks(docs, id_col, text_col, BLOCK)
     buckets = bucket_count(docs, 1.0)
 
+    @released
     def parse(t: pa.Table) -> pa.Table:
         x, me = Text(t, length), t.column("blk")[0].as_py()
         start, end, context, phrase, bucket = phrases(x, gram, reach)
@@ -157,18 +191,19 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         again[by] = same_as_previous(context[by], phrase[by])
         first = ~again
         size = (end - start).astype(np.uint32)
-        out = deal((bucket[first] % np.uint64(buckets)).astype(np.int32), me, _DEALT, (context[first] >> np.uint64(32)).astype(np.uint32), phrase[first], order[first], off[first].astype(np.uint32), size[first].astype(np.uint8))
+        out = deal((bucket[first] % np.uint64(buckets)).astype(np.int32), me, _DEALT, (context[first] >> np.uint64(32)).astype(np.uint32), phrase[first], order[first], off[first].astype(np.uint32), size[first])
         if again.any():
             out += deal(np.full(int(again.sum()), me % buckets, np.int32), me, _COVERED, order[again], off[again].astype(np.uint32), size[again])
         return messages(out)
 
+    @released
     def compare(t: pa.Table) -> pa.Table:
-        (context, phrase, order, off, size), src = gather(t, _DEALT, np.uint32, np.uint64, np.int64, np.uint32, np.uint8)
+        (context, phrase, order, off, size), src = gather(t, _DEALT, np.uint32, np.uint64, np.int64, np.uint32, np.uint32)
         by = np.lexsort((phrase, context))
         c, p = context[by], phrase[by]
         same = same_as_previous(c, p)
         heads = np.flatnonzero(~same)
-        covered, detail, spreads = np.zeros(len(by), bool), np.zeros(len(by), bool), np.zeros(len(by), bool)
+        covered, detail = np.zeros(len(by), bool), np.zeros(len(by), bool)
         if len(heads):
             n = np.diff(np.r_[heads, len(by)])
             first = heads.copy()
@@ -184,79 +219,55 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             covered[by[first]] = False
             of = np.cumsum(~same_as_previous(c[heads])) - 1
             distinct = np.bincount(of)[of]
-            detail[by[first[(distinct > 1) & (distinct <= spread)]]] = True
-            spreads[by[first[distinct > spread]]] = True
+            detail[by[first[distinct > 1]]] = True
         me = t.column("dst")[0].as_py()
-        size = size.astype(np.uint32)
         out = deal(src[covered], me, _COVERED, order[covered], off[covered], size[covered])
-        out += deal(src[detail], me, _DETAIL, order[detail], off[detail], size[detail]) + deal(src[spreads], me, _SPREAD, order[spreads], off[spreads], size[spreads])
+        out += deal(src[detail], me, _DETAIL, order[detail], off[detail], size[detail])
         return messages(out + passed_on(t, _COVERED))
 
+    @released
     def expand(t: pa.Table, m: pa.Table) -> pa.Table:
         if not t.num_rows or not m.num_rows:
             return messages([])
         me = t.column("blk")[0].as_py()
-        (order, off, size), bucket = gather(m, _DETAIL, *_PLACE)
         out = [(me % buckets, me, k, d) for _, _, k, d in passed_on(m, _COVERED)]
+        (order, off, size), _ = gather(m, _DETAIL, *_PLACE)
+        if not len(order):
+            return messages(out)
         x = Text(t, length)
-        by = np.argsort(bucket, kind="stable")
-        order, off, size, bucket = order[by], off[by], size[by], bucket[by]
-        cuts = np.flatnonzero(np.r_[~same_as_previous(bucket), True]) if len(bucket) else []
-        for a, z in zip(cuts[:-1], cuts[1:]):
-            text = _strings(x, x.base_of(order[a:z]) + off[a:z].astype(np.int64), size[a:z].astype(np.int64))
-            out.append((int(bucket[a]), me, _PHRASE, np.int64(z - a).tobytes() + pack(order[a:z], off[a:z], size[a:z]) + text.tobytes()))
-        (order, off, size), _ = gather(m, _SPREAD, *_PLACE)
-        if len(order):
-            n = size.astype(np.int64) - length + 1
-            start = x.base_of(order) + off.astype(np.int64)
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at = np.sort(np.repeat(start, n) + step)
-            h = mix(_THREE.spans(p := _THREE.prefix(_THREE.symbols[x.data]), at, at + length))
-            q = _TWO.prefix(_TWO.symbols[x.data])
-            b = (mix(_TWO.spans(q, at, at + length)) % np.uint64(buckets)).astype(np.int32)
-            del p, q
-            order, off = x.place(at)
-            by = np.argsort(h, kind="stable")
-            again = np.zeros(len(by), bool)
-            again[by] = same_as_previous(h[by])
-            first = ~again
-            out += deal(b[first], me, _WINDOW, h[first], order[first], off[first].astype(np.uint32))
-            if again.any():
-                out += deal(np.full(int(again.sum()), me % buckets, np.int32), me, _COVERED, order[again], off[again].astype(np.uint32), np.full(int(again.sum()), length, np.uint32))
-        return messages(out)
-
+        start, size = x.base_of(order) + off.astype(np.int64), size.astype(np.int64)
+        by = np.argsort(start)
+        start, size = start[by], size[by]
+        # The dictionary's phrases, one after another, and the windows in them.
+        text, n = _strings(x, start, size), size - length + 1
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        rank = suffix_ranks(text, np.repeat(np.cumsum(size) - size, n) + step, length)
+        at = np.repeat(start, n) + step
+        del text, step
+        by = np.lexsort((at, rank))  # the suffix array, its runs of equal windows in corpus order
+        lead = ~same_as_previous(rank[by])
+        first, again = np.sort(at[by[lead]]), np.sort(at[by[~lead]])
+        del rank, at, by
+        order, off = x.place(again)
+        out += deal(np.full(len(again), me % buckets, np.int32), me, _COVERED, order, off.astype(np.uint32), np.full(len(again), length, np.uint32))
+        octets, size = Octets(x.data), np.full(len(first), length)
+        h, b = octets.spans(_ONE, first, size), (octets.spans(_TWO, first, size) % np.uint64(buckets)).astype(np.int32)
+        order, off = x.place(first)
+        return messages(out + deal(b, me, _WINDOW, h, order, off.astype(np.uint32)))
+
+    @released
     def decide(t: pa.Table) -> pa.Table:
         me, out = t.column("dst")[0].as_py(), passed_on(t, _COVERED)
         (h, order, off), src = gather(t, _WINDOW, np.uint64, np.int64, np.uint32)
-        out += later(me, h, order, off, src)
-        places, texts, src = [], [], []
-        for s, k, d in zip(t.column("src").to_pylist(), t.column("kind").to_pylist(), t.column("data")):
-            if k == _PHRASE:
-                raw_bytes = d.as_buffer()
-                n = int(np.frombuffer(raw_bytes, np.int64, 1)[0])
-                head = 8 + n * sum(np.dtype(x).itemsize for x in _PLACE)
-                places.append(unpack(raw_bytes[8:head], *_PLACE))
-                texts.append(np.frombuffer(raw_bytes, np.uint8, offset=head))
-                src.append(np.full(n, s, np.int32))
-        if places:
-            order, off, size = (np.concatenate(x) for x in zip(*places))
-            src, size = np.concatenate(src), size.astype(np.int64)
-            n = size - length + 1
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            rank = suffix_ranks(np.concatenate(texts), np.repeat(np.cumsum(size) - size, n) + step, length)
-            out += later(me, rank, np.repeat(order, n), (np.repeat(off, n) + step).astype(np.uint32), np.repeat(src, n))
-        return messages(out)
-
-    def later(me: int, window: np.ndarray, order: np.ndarray, off: np.ndarray, src: np.ndarray) -> list:
-        """Messages on all places of a window but the first."""
-        by = np.argsort(window, kind="stable")
-        i = same_as_previous(window[by])
+        by = np.argsort(h, kind="stable")
+        i = same_as_previous(h[by])
         i[:-1] |= i[1:]
         i = by[i]
-        j = i[np.lexsort((off[i], order[i], window[i]))]
-        again = np.sort(j[same_as_previous(window[j])])
-        return deal(src[again], me, _COVERED, order[again], off[again], np.full(len(again), length, np.uint32))
+        j = i[np.lexsort((off[i], order[i], h[i]))]
+        again = np.sort(j[same_as_previous(h[j])])  # all places of a window but the first
+        return messages(out + deal(src[again], me, _COVERED, order[again], off[again], np.full(len(again), length, np.uint32)))
 
+    @released
     def remove(t: pa.Table, m: pa.Table) -> pa.Table:
         x = Text(t, length)
         gone = np.zeros(len(x.data) + 1, np.int32)

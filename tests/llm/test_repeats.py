@@ -51,9 +51,26 @@ def test_bytes_with_short_windows(docs, rows):
     assert Counter(map(tuple, got)) == brute_bytes(rows, 20)
 
 
-def test_bytes_with_contexts_of_many_phrases(docs, rows):
-    got = prefix_free.repeated_bytes(docs, length=20, gram=8, reach=12, spread=1).collect()
-    assert Counter(map(tuple, got)) == brute_bytes(rows, 20)
+def test_bytes_with_long_windows(docs, rows):
+    got = prefix_free.repeated_bytes(docs, length=300, gram=16, reach=200).collect()
+    assert Counter(map(tuple, got)) == brute_bytes(rows, 300)
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_and_bytes_of_equal_polynomials(spark):
+    """Thue-Morse words and their complements agree in any polynomial hash modulo 2**64."""
+    texts = [" ".join(["same"] * 20 + [thue_morse(n, a, b)] + ["tail"] * 20) for n in (1024, 4096) for a, b in ("ab", "ba")]
+    rows = list(enumerate(texts)) + [(9, texts[0])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = block_anchors.repeated_words(d).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == brute_words(rows, 35) and {r.doc_id for r in got if r.n_removed} == {0, 9}
+    assert Counter(map(tuple, prefix_free.repeated_bytes(d).collect())) == brute_bytes(rows, 100)
+    long = [(i, thue_morse(4096, *x)) for i, x in enumerate(("ab", "ba", "ab"))]
+    got = prefix_free.repeated_bytes(spark.createDataFrame(long, "doc_id long, text string"), length=2100, gram=16, reach=64).collect()
+    assert Counter(map(tuple, got)) == brute_bytes(long, 2100)
 
 
 def test_suffix_ranks():

@@ -64,6 +64,27 @@ def test_join_of_near_copies(spark, length, edits, chunk):
     assert as_set(parity_join.near_duplicates(d, chunk=chunk)) == brute_components(rows)
 
 
+def test_join_tells_words_of_equal_polynomials(spark):
+    from test_repeats import thue_morse
+
+    x, y = (thue_morse(1024, *p) for p in ("ab", "ba"))
+    rows = [(i, f"{a} {b}") for i, (a, b) in enumerate([(x, "one two"), (y, "one two"), (x, "more words"), (x, "one two"), (x, ""), (y, "")])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = as_set(parity_join.near_duplicates(d))
+    assert got == brute_components(rows) and {r[2] for r in got} == {0, 1, 2, 4, 5}
+
+
+def test_hamming_distance_bounds_the_difference():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (40, 50, 300)]
+    sets += [np.sort(np.r_[s[: len(s) - 2], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]) for s in sets]
+    near = parity_join.may_link(sets, 0, 90, 100)
+    assert all(near[i, i + 3] for i in range(3)) and not near[0, 2] and not near[0, 1]
+    for left in (0, 3):
+        i, j = parity_join.links_of(sets, left, 90, 100)
+        assert set(zip(i.tolist(), j.tolist())) == {(k, k + 3) for k in range(3)}
+
+
 def test_join_edges(spark, empty):
     assert parity_join.near_duplicates(empty).collect() == []
     d = spark.createDataFrame([(None, "a b c d"), (4, "A b c d"), (None, None), (6, "")], "doc_id long, text string")
@@ -195,29 +216,6 @@ def test_classifier_edges(spark, docs, rows, empty, clash):
     assert len({r.score for r in ordinal.score_documents(docs, ordinal.fit(empty, grades)).collect()}) == 1
 
 
-def test_pipeline_against_brute_force(spark, rows, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    from epochal.llm import mixing, rules
-
-    extra = rows + [(500 + i, f"{r[1]} Write to who.{i:02d}@mail1.example.com now", "en", "s2", 0) for i, r in enumerate(rows[5:12])]
-    docs = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    out = pipeline.run(spark, str(tmp_path)).collect()
-
-    good = {r.doc_id for r in rules.apply_policy(rules.ledger(docs)).filter("kept").collect()}
-    kept = [r for r in dict.fromkeys(extra) if r[0] in good]
-    least = {x[0]: x[2] for x in brute_components(kept)}
-    kept = [r for r in kept if least[r[0]] == r[0]]
-    clean = [(r[0], surrogates.rewrite(r[1], {})[0], *r[2:]) for r in kept]
-    plan = mixing.mix_plan(spark.createDataFrame(clean, "doc_id long, text string, lang string, source string, n_chars long")).collect()
-    text = {r[0]: r[1] for r in clean}
-    want = Counter()
-    for r in plan:
-        want[r.doc_id, hashlib.sha256(text[r.doc_id].encode()).hexdigest()] += r.passes
-    assert Counter((r.doc_id, r.decoded_sha256) for r in out) == +want and len(out) > 10
-    assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_duplicates", "personal_data", "source_mix", "encode"]
-
-
 def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     empty.write.parquet(f"{tmp_path}/documents.parquet")
