@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from epochal.llm import bpe_codec, mixing, parity_join, rules, surrogates
 from epochal.llm.common import saved, table, unused
+from epochal.llm.queries import surrogate_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates, and their new number of characters."""
-    out = surrogates.replace_entities(docs)
+    out = surrogates.replace_entities(docs, surrogate_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

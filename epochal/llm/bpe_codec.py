@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import released, slices
+
 CHUNK = 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 _codecs: dict[tuple[str, str], object] = {}
@@ -69,8 +71,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     Digests are taken over the ids and over the bytes decoded from them.
     """
 
+    @released
     def run(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, text_col)):
             ids, out = b.column(0), {"n": [], "ids": [], "ids_sha": [], "dec_sha": []}
             for text in b.column(1).to_pylist():
                 x = encode(text, ranks_path, pattern, chunk)

@@ -18,7 +18,10 @@ over all documents and whole texts. The fit is deterministic.
 
 Null text has no words. Labels with a null id, quality or toxicity are left out;
 of several labels of an id the lowest grade counts. Without any label every
-document gets the same score. Rows and ids may repeat.
+document gets the same score. Rows and ids may repeat: of rows that share a
+labelled id, the text of least hash is fitted, once, and all are scored. Texts
+of any length are read whole; equal texts get equal scores. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, slices
+
 BINS = 1 << 18
 MAX_TRAIN_ROWS = 8000
+#: Words whose bins a task remembers.
+CACHED = 200_000
 SHAPES = 64
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _UPPER = bytes(range(65, 91))
@@ -68,7 +75,7 @@ class Model:
         tokens = (text or "").split()
         distinct = set(tokens)
         w, cache, s = self.weights, self.cache, 0.0
-        if len(cache) > 500_000:
+        if len(cache) > CACHED:
             cache.clear()
         seen = set()
         for t in distinct:
@@ -148,12 +155,15 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     """Model from ``ratings (id, grade)``, on ``max_rows`` of them at most."""
     chosen = ratings.orderBy(F.xxhash64(id_col, F.lit(11)), id_col).limit(max_rows)
 
+    @released
     def extract(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, text_col)):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["id", "grade", "bins"])
 
     kind = dict(docs.dtypes)[id_col]
-    train_rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col), "grade", text_col)  # max_rows rows of two numbers
+    # max_rows rows of two numbers; of rows that repeat an id, the text of least hash.
+    train_rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    train_rows = train_rows.groupBy(id_col).agg(F.first("grade").alias("grade"), F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))).alias("x")).select(F.col(id_col), "grade", F.col("x.t").alias(text_col))
     rows = sorted(train_rows.mapInArrow(extract, f"id {kind}, grade int, bins binary").collect(), key=lambda r: (r["id"], r["bins"]))  # max_rows documents' bins
     return train([np.frombuffer(r["bins"], np.int32) for r in rows], np.array([r["grade"] for r in rows], np.int64), n_grades)
 
@@ -161,8 +171,9 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.35) -> DataFrame:
     """Per document: id, score, expected_grade, p_tail (top grade), kept (``p_tail >= cut``)."""
 
+    @released
     def run(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, text_col)):
             s = np.array([model.score(t) for t in b.column(1).to_pylist()], np.float64)
             p = model.tails(s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(p.sum(axis=1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= cut)], names=[id_col, "score", "expected_grade", "p_tail", "kept"])

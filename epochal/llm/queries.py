@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,15 @@ from . import block_anchors, bpe_codec, mixing, ordinal, parity_join, permutatio
 from .common import table
 
 
+_RANDOM_KEY = secrets.token_bytes(32)
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret in ``spark.epochal.surrogates.key`` (hexadecimal); without one, a random key of this process."""
+    configured = spark.conf.get("spark.epochal.surrogates.key", None)
+    return bytes.fromhex(configured) if configured else _RANDOM_KEY
+
+
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ordinal.fit(docs, ordinal.graded(table(spark, sf_dir, "labels")))
@@ -16,7 +27,7 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from collections import Counter
 
 from epochal.llm import surrogates
 
+KEY = b"a key for the tests"
+
 
 def kinds(text):
     return [(k, c) for _, _, k, c in surrogates.find(text)]
@@ -11,9 +13,9 @@ def kinds(text):
 
 def test_signed_numbers_are_no_telephones(spark):
     for t in ("rose +25.50 today", "from +12.34 to +35 20", "up +1.25 and +10.50 in 2024", "+99 50, +999.99"):
-        assert surrogates.rewrite(t, {}) == (t, [])
+        assert surrogates.rewrite(t, {}, KEY) == (t, [])
     rows = [(i, f"change of +25.{i:02d} points") for i in range(100)]
-    out = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY)
     assert {(r.doc_id, r.text) for r in out.collect()} == set(rows)
 
 
@@ -21,8 +23,8 @@ def test_shapes_that_run_out_are_settled(spark):
     """All hundred numbers of a shape leave none for a surrogate of that shape."""
     all_of = {"phone": [f"+25{i:02d}" for i in range(100)], "ssn": [f"{i:02d}" for i in range(100)], "secret": [f"{i:02d}" for i in range(100)]}
     found = spark.createDataFrame([(k, c) for k, v in all_of.items() for c in v], "kind string, canon string")
-    later = {(r.kind, r.canon): r.attempt for r in surrogates.settle(found).collect()}
-    new = {k: [surrogates.surrogate(k, c, later.get((k, c), 0)) for c in v] for k, v in all_of.items()}
+    later = {(r.kind, r.canon): r.attempt for r in surrogates.settle(found, KEY).collect()}
+    new = {k: [surrogates.surrogate(k, c, later.get((k, c), 0), KEY) for c in v] for k, v in all_of.items()}
     for k, v in all_of.items():
         assert len(set(new[k])) == 100 and not set(new[k]) & set(v)
     shown = [surrogates.written("+25.50", "phone", x) for x in new["phone"]]
@@ -50,8 +52,8 @@ def test_international_numbers_are_found_whole():
     }.items():
         for text in (t, f"Call {t}.", f"[{t}], or", f"tel:{t}\n12"):
             assert kinds(text) == [("phone", canon)], text
-        assert t not in surrogates.rewrite(f"Call {t} now", {})[0]
-    assert surrogates.rewrite("at +49 30 1234567", {})[0].endswith(surrogates.surrogate("phone", "+49301234567", 0)[-7:])
+        assert t not in surrogates.rewrite(f"Call {t} now", {}, KEY)[0]
+    assert surrogates.rewrite("at +49 30 1234567", {}, KEY)[0].endswith(surrogates.surrogate("phone", "+49301234567", 0, KEY)[-7:])
 
 
 def test_telephones_end_where_something_else_begins():

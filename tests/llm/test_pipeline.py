@@ -8,6 +8,7 @@ import pytest
 from test_search import LOWER, WORD, brute_components
 
 from epochal.llm import mixing, parity_join, rules, surrogates
+from epochal.llm.queries import surrogate_key
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,7 +46,7 @@ def test_pipeline_against_five_word_brute_force(spark, rows, tmp_path):
     kept = sorted((r for r in dict.fromkeys(extra) if r[0] in good), key=lambda r: r[0])
     root = five_word_roots([r[1] for r in kept])
     assert {x[0] for x in brute_components(kept) if x[2] == x[0]} > {kept[i][0] for i in root}
-    clean = [(r[0], surrogates.rewrite(r[1], {})[0], *r[2:]) for i, r in enumerate(kept) if root[i] == i]
+    clean = [(r[0], surrogates.rewrite(r[1], {}, surrogate_key(spark))[0], *r[2:]) for i, r in enumerate(kept) if root[i] == i]
     text = {r[0]: r[1] for r in clean}
     want = Counter()
     for r in mixing.mix_plan(spark.createDataFrame(clean, SCHEMA)).collect():
