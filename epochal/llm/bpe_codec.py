@@ -2,14 +2,16 @@
 
 The rank file is a parameter. A long text is cut at safe boundaries before it
 reaches the library's regular expression, so that no call holds more than about
-``CHUNK`` characters unless the text has no such boundary. A boundary is safe
-before a white-space character that follows a non-space character: no
-alternative of the split pattern runs across it, and its only look-ahead sees
-the characters to its right, which stay the same. The ids are decoded to raw
-bytes, which need not be valid UTF-8 piece by piece.
+``CHUNK`` characters unless the text has no such boundary: then it is one match
+of the pattern, which must be encoded as one piece. A boundary is safe before a
+space, tab or line end that follows a non-space character, and between ASCII
+letters and digits: no alternative of the split pattern runs across it, and its
+only look-ahead sees the characters to its right, which stay the same. The ids
+are decoded to raw bytes, which need not be valid UTF-8 piece by piece.
 
 Null text counts as empty (no ids); every text is encoded whole. An id column
-with nulls or repeated ids is carried through; extra columns are ignored.
+with nulls or repeated ids is carried through, row by row; extra columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import released, slices
 
 CHUNK = 1 << 16
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _codecs: dict[tuple[str, str], object] = {}
 
 

@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within a source, documents are sorted by
+Every document gets a hash-random key, from its id and text. Within a source, documents are sorted by
 that key inside key ranges; the ranges' totals give prefix sums, so the place of
 a document in its source's order, measured in words, is known without gathering
 a source in one task. A source whose target is ``e`` whole passes and a rest is
@@ -15,8 +15,9 @@ sources sorted by ``cap * size / weight`` the stopped ones are a prefix, which
 prefix sums over the sources' totals (one row a source) find without a loop.
 
 Null text has size 0 and is taken 0 times a word; null sources form one source;
-rows that repeat a document id are documents of their own; an empty table gives
-an empty result.
+rows that repeat a document id are documents of their own, null ids too, and
+rows that agree in id and text are alike: it makes no difference which is taken.
+Texts of any length are counted whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ WEIGHTS = (1, 2, 3)
 def mix_plan(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, size, source, source_size, target, passes (how often it is taken), taken, and the columns in ``keep``."""
     size = F.size(words(F.col(text_col))).cast("long") if size is None else size
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
     d = docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *keep).withColumn("range", F.substring("key", 1, 3))
     d = saved(d, "mix")
     at = F.struct("source")  # a struct is never null, so nulls join too
@@ -54,7 +55,7 @@ def mix_plan(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id"
     targets = s.select("at", F.when(F.col("full"), (F.lit(cap) * F.col("S")).cast("double")).otherwise(F.col("rest").cast("double") / F.col("open").cast("double") * F.col("w").cast("double")).alias("target"))
 
     offsets = totals.join(targets, "at").select("at", "range", "before", "source_size", "target")
-    within = Window.partitionBy("at", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("at", "range").orderBy("key", "size", *[F.xxhash64(c) for c in keep]).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("at", at).withColumn("here", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["at", "range"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     d = d.withColumn("whole", whole)
@@ -66,7 +67,7 @@ def mix_plan(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id"
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                  md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY source),
 n AS (SELECT source, s, ((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1 AS w FROM t),
 r AS (SELECT *, (SELECT sum(s) FROM t) - coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_here,

@@ -34,7 +34,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -257,46 +256,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @released
     def describe(batches):
-        """Sizes, signatures and chunks of sets; of a task's equal sets, one posts its chunks."""
-        seen = set()
         for t in (x for b in batches for x in slices(b, "text")):
             row, h, size = shingle_sets(t.column("text"), shingle)
             s1, s2 = signatures(row, h, size)
-            once = np.zeros(len(size), bool)
-            for i, s in enumerate(zip(s1.tolist(), s2.tolist())):
-                if size[i] and s not in seen:
-                    seen.add(s)
-                    once[i] = True
-            use = once[row]
-            r, key = chunks_of(row[use], h[use], np.where(once, size, 0), num, den)
-            by = np.argsort(r, kind="stable")
-            ends = np.r_[0, np.cumsum(np.bincount(r, minlength=len(size)))].astype(np.int32) * 8
-            keys = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(key[by])])
-            yield pa.RecordBatch.from_arrays([t.column("ord"), t.column("id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), keys], names=["ord", "id", "n", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([t.column("ord"), t.column("id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=["ord", "id", "n", "s1", "s2"])
 
     @released
     def post(batches):
-        """A task's stars: each chunk's least set goes to the chunk's bucket, the others hang on it at once."""
-        held, n = [], 0
+        """A task's stars: of equal sets one posts its chunks; each chunk's least set goes to the chunk's bucket, the others hang on it at once."""
+        seen, held, n = set(), [], 0
 
         def reduced():
             key, s = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held])
             by = np.lexsort((s, key))
-            key, s = key[by], s[by]
-            lead = ~same_as_previous(key)
-            to = s[np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))]
-            edge = to != s
-            out = deal(((key[lead] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), 0, 0, key[lead], s[lead])
-            pairs = np.unique(np.stack([to[edge], s[edge]]), axis=1) if edge.any() else np.zeros((2, 0), np.int64)
-            out += deal((mix(pairs[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), 0, 1, pairs[0].view(np.uint64), pairs[1])
+            lead = ~same_as_previous(key[by])
+            to = s[by][np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))]
+            edge = to != s[by]
+            first = np.sort(by[lead])  # in the order of sets, which compresses better
+            out = deal(((key[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), 0, 0, key[first], s[first])
+            pairs = np.unique(np.stack([to[edge], s[by][edge]]), axis=1) if edge.any() else np.zeros((2, 0), np.int64)
+            out += deal((mix(pairs[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), 0, 1, pairs[0], pairs[1])
             return messages(out).to_batches()
 
-        for b in batches:
-            raw, s1 = b.column(1), np.asarray(b.column(0), np.int64)
-            size = np.asarray(pc.binary_length(raw), np.int64) // 8
-            data = np.frombuffer(raw.buffers()[2], np.uint64, int(size.sum()), int(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset])) if size.sum() else np.zeros(0, np.uint64)
-            held.append((data, np.repeat(s1, size)))
-            n += len(data)
+        for t in (x for b in batches for x in slices(b, "text")):
+            row, h, size = shingle_sets(t.column("text"), shingle)
+            s1, s2 = signatures(row, h, size)
+            once = np.zeros(len(size), bool)
+            for i, s in enumerate(zip(s1.tolist(), s2.tolist())):
+                if size[i] and s not in seen:
+                    seen.add(s)
+                    once[i] = True
+            use = once[row]
+            r, key = chunks_of(row[use], h[use], np.where(once, size, 0), num, den)
+            by = np.argsort(r, kind="stable")
+            held.append((key[by], s1[r[by]]))
+            n += len(key)
             if n >= POSTS:
                 yield from reduced()
                 held, n = [], 0
@@ -315,11 +309,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = np.unique(np.stack([np.r_[c[lead][edge], a], np.r_[c[edge], b]]), axis=1)
         return pa.Table.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
-    described = saved(texts.mapInArrow(describe, f"ord long, id {kind}, n long, s1 long, s2 long, keys binary"), "sets")
+    described = saved(texts.mapInArrow(describe, f"ord long, id {kind}, n long, s1 long, s2 long"), "sets")
     classes = described.filter("n > 0").groupBy("s1", "s2").agg(F.min("ord").alias("rep"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
     classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    posts = described.filter("length(keys) > 0").select("s1", "keys").mapInArrow(post, MESSAGE)
-    groups = components(posts.groupBy("dst").applyInArrow(meet, "a long, b long"), "candidates")
+    groups = components(texts.select("text").mapInArrow(post, MESSAGE).groupBy("dst").applyInArrow(meet, "a long, b long"), "candidates")
 
     # Written, as ``least`` below, so that the joins can split a hot group. Sets that agree in 64 bits only are candidates more.
     members = saved(groups.join(classes, groups["v"] == classes["s1"]).select("root", "c", "s1", "s2", "rep", "copies", "n"), "members")

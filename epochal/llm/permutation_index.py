@@ -13,10 +13,13 @@ so the vectors nearest by footrule come out without looking at the rest. The
 double precision. Queries meet every shard, in blocks.
 
 Vectors that are null, empty, zero, or hold nulls or non-finite numbers take no
-part, nor do those without id or of a length other than the commonest. A query
-is never its own neighbour; rows that repeat its id aren't either. Of equal
-scores the smaller id comes first. Repeated query ids ask once. Fewer vectors
-than asked for give all there are; an empty table an empty result.
+part, nor do those without id or of a length other than the commonest. Rows that
+repeat id and vector count once. An id with several vectors is found by the
+nearest of them, and asks with the least. Of the copies of one vector the
+``k + 1`` with the smallest ids are indexed, which gives the same results as all
+of them. A query is never its own neighbour; rows that repeat its id aren't
+either. Of equal scores the smaller id comes first. Fewer vectors than asked for
+give all there are; an empty table an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import released, saved
 
 PIVOTS = 512
 PREFIX = 64
@@ -54,27 +57,22 @@ def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def copies_before(x: np.ndarray) -> np.ndarray:
-    """For each row, how many earlier rows are equal to it."""
-    if not len(x):
-        return np.zeros(0, np.int64)
-    _, group = np.unique(np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True)
-    by = np.argsort(group, kind="stable")
-    heads = np.searchsorted(group[by], group[by])
-    out = np.empty(len(x), np.int64)
-    out[by] = np.arange(len(x)) - heads
-    return out
+def first_of_each(ids: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """The first ``k`` places of ``order`` whose ids differ."""
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
 
 
 def nearest(vectors: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, candidates: int = CANDIDATES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of the rows that ``query_filter`` (a condition on ``id``) names."""
-    d = usable(vectors, id_col, vec_col)
+    d = usable(vectors, id_col, vec_col).distinct()
     h = F.xxhash64("v", F.lit(7)).alias("h")
     least = d.select(h).distinct().orderBy("h").limit(pivots)
     chosen = d.select(h, "v").join(F.broadcast(least), "h").groupBy("h").agg(F.first("v").alias("v")).orderBy("h").collect()  # PIVOTS rows
     anchors = unit(np.array([r["v"] for r in chosen])) if chosen else np.zeros((1, 1))
     m = min(prefix, len(anchors))
 
+    @released
     def permute(batches):
         for b in batches:
             x = matrix(pa.chunked_array([b.column(1)]), b.num_rows)
@@ -84,8 +82,12 @@ def nearest(vectors: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id"
             perm = np.take_along_axis(top, order, 1).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p.tobytes() for p in perm], pa.binary())], names=["id", "v", "perm"])
 
-    indexed = saved(d.mapInArrow(permute, "id long, v array<double>, perm binary"), "permutations")
-    queries = indexed.filter(query_filter).dropDuplicates(["id"])
+    # Of the copies of one vector, the k + 1 smallest ids: no query can have another among its k nearest, as ties go to smaller ids.
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    once = d.withColumn("copy", copy).filter(F.col("copy") <= k + 1).select("id", "v")
+    form = "id long, v array<double>, perm binary"
+    indexed = saved(once.mapInArrow(permute, form), "permutations")
+    queries = saved(d.filter(query_filter).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(permute, form), "questions")
     n, q = indexed.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // QUERY_ROWS))
     shard, block = F.pmod(F.xxhash64("id"), F.lit(shards)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))
@@ -94,13 +96,13 @@ def nearest(vectors: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id"
     asked = queries.select("*", each(shards).alias("s"), block.cast("int").alias("b"), F.lit(True).alias("asks"))
     both = stored.unionByName(asked).withColumn("cell", (F.col("s") * blocks + F.col("b")).cast("long"))
 
+    @released
     def search(t: pa.Table) -> pa.Table:
         asks = np.asarray(t.column("asks"), bool)
         ids, x = np.asarray(t.column("id"), np.int64), matrix(t.column("v"), t.num_rows)
         perm = np.frombuffer(b"".join(t.column("perm").to_pylist()), np.uint16).reshape(t.num_rows, m).astype(np.int64)
         own = np.flatnonzero(~asks)
         own = own[np.argsort(ids[own], kind="stable")]
-        own = own[copies_before(x[own]) <= k]  # k + 1 copies with smaller ids leave no place for another
         ids_x, data, px = ids[own], unit(x[own]) if len(own) else x[:0], perm[own]
         size = len(own)
         flat = px.ravel()
@@ -118,12 +120,13 @@ def nearest(vectors: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id"
             found = found[ids_x[found] != ids[r]]
             q = unit(x[r : r + 1])[0]
             cosine = (data[found] * q).sum(axis=1)
-            best = np.lexsort((ids_x[found], -cosine))[:k]
+            best = first_of_each(ids_x[found], np.lexsort((ids_x[found], -cosine)), k)
             out[0].extend([int(ids[r])] * len(best))
             out[1].extend(ids_x[found[best]].tolist())
             out[2].extend(cosine[best].tolist())
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     hits = both.groupBy("cell").applyInArrow(search, "query_id long, vec_id long, score double")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id may stand for several vectors
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

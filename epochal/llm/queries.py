@@ -38,6 +38,11 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current policy with each of its rules left out in turn, from the stored ledger alone."""
+    return rules.ablation(rules.stored(rules.ledger(table(spark, sf_dir, "documents"))))
+
+
 def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_anchors.repeated_words(table(spark, sf_dir, "documents"))
 
@@ -65,5 +70,5 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_surrogates, op3_prefix_free_parsing, op4_rule_ledger, op5_block_anchors, op6_permutation_index, op7_label_propagation, op8_byte_bpe, op9_mixing, op10_parity_join)}
-ORACLES = {"op3_prefix_free_parsing": prefix_free.ORACLE, "op4_rule_ledger": rules.ORACLE, "op5_block_anchors": block_anchors.ORACLE, "op9_mixing": mixing.ORACLE, "op10_parity_join": parity_join.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_surrogates, op3_prefix_free_parsing, op4_rule_ledger, op5_block_anchors, op6_permutation_index, op7_label_propagation, op8_byte_bpe, op9_mixing, op10_parity_join, rule_ablation)}
+ORACLES = {"op3_prefix_free_parsing": prefix_free.ORACLE, "op4_rule_ledger": rules.ORACLE, "op5_block_anchors": block_anchors.ORACLE, "op9_mixing": mixing.ORACLE, "op10_parity_join": parity_join.ORACLE, "rule_ablation": rules.ABLATION_ORACLE}

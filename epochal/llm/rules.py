@@ -5,9 +5,13 @@ one integer whose bit ``i`` says that rule ``i`` failed. A policy is a version
 name and a mask; a document passes a policy when ``fail_bits & mask = 0``, so
 that a new policy or an ablation needs the ledger alone, not the texts.
 
-Null text has no words. Texts of any length are measured whole; the work is
+The ledger is a table of its own (``stored``), so that it is computed once for
+all policies and ablations.
+
+Null text has no words; null ids are ids like others. Texts of any length are measured whole; the work is
 ``n log n`` in a text's words. Repeated rows are judged row by row. Column names
 of the ledger that the input has too are replaced; other columns are not read.
+An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, saved, words
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
@@ -38,9 +42,10 @@ CURRENT = "full-1"
 def repeat_words(ws: Column, n: int = 5) -> Column:
     """Words covered by windows of ``n`` words that occur twice or more in the array ``ws``.
 
-    The windows' hashes are sorted with their places; a window repeats when a
-    neighbour in that order has its hash; the repeated places, sorted again,
-    cover ``least(n, distance to the next)`` words each.
+    Windows are hashes over their words' hashes. Only where a window repeats at
+    all are they sorted with their places: a window repeats when a neighbour in
+    that order has its hash, and the repeated places, sorted again, cover
+    ``least(n, distance to the next)`` words each.
     """
 
     def covered(places: Column) -> Column:
@@ -51,11 +56,15 @@ def repeat_words(ws: Column, n: int = 5) -> Column:
         twin = F.filter(s, lambda x, i: ((i > 0) & (s[F.greatest(i - 1, F.lit(0))]["h"] == x["h"])) | ((i < last) & (s[F.least(i + 1, last)]["h"] == x["h"])))
         return covered(F.sort_array(F.transform(twin, lambda x: x["i"])))
 
-    def windows(a: Column) -> Column:
-        hashes = F.transform(F.slice(a, 1, F.greatest(F.size(a) - (n - 1), F.lit(0))), lambda _, i: F.struct(F.xxhash64(*[F.get(a, i + k) for k in range(n)]).alias("h"), i.alias("i")))
-        return let(F.sort_array(hashes), repeated)
+    def counted(w: Column) -> Column:
+        placed = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(placed, repeated))
+
+    def windows(h: Column) -> Column:
+        starts = F.slice(h, 1, F.greatest(F.size(h) - (n - 1), F.lit(0)))
+        return let(F.transform(starts, lambda _, i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])), counted)
 
-    return let(ws, windows)
+    return let(F.transform(ws, lambda x: F.xxhash64(x)), windows)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,6 +82,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measure(docs, id_col, text_col).withColumn("fail_bits", F.expr(bits))
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The ledger as a written table."""
+    return saved(rows, "ledger")
+
+
 def apply_policy(rows: DataFrame, version: str = CURRENT, out: str = "kept") -> DataFrame:
     return rows.withColumns({"base_failed": F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0, out: F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version] | BASE)) == 0})
 
@@ -106,3 +120,8 @@ b AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_rep
              + CASE WHEN 100 * n_upper > 40 * word_chars THEN 32 ELSE 0 END AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, CAST(bits AS BIGINT) AS fail_bits, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept FROM b
 """
+
+#: The ablation of the current policy, from the same ledger.
+ABLATION_ORACLE = "WITH ledger AS (" + ORACLE + ") " + " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, count(*) FILTER (fail_bits & {1 << i} <> 0) AS n_failed, count(*) FILTER (fail_bits & {POLICIES[CURRENT]} = {1 << i}) AS n_failed_alone, count(*) FILTER (fail_bits & {POLICIES[CURRENT] & ~(1 << i)} = 0) AS n_kept_without, '{CURRENT}' AS policy FROM ledger" for i, (name, _) in enumerate(RULES)
+)

@@ -36,6 +36,13 @@ def test_policies_and_ablation(docs):
         assert table[name].n_kept_without == sum(r.fail_bits & ~bit == 0 for r in judged)
 
 
+def test_ablation_query(spark, duck):
+    from epochal.llm import queries
+
+    got = sorted(tuple(r) for r in queries.rule_ablation(spark, "/root/testdata/sf0.001").select("rule", "n_failed", "n_failed_alone", "n_kept_without", "policy").collect())
+    assert got == sorted(duck.sql(f"SELECT rule, n_failed, n_failed_alone, n_kept_without, policy FROM ({queries.ORACLES['rule_ablation']})").fetchall()) and len(got) == len(rules.RULES)
+
+
 def test_rules_need_no_python(spark, empty, clash, rows):
     plan = rules.apply_policy(rules.ledger(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
@@ -105,6 +112,37 @@ def test_shards_split_only_what_does_not_fit(spark):
     assert sum(len(w) > 1 for t, w in where.items() if t.startswith("pair")) <= 5
 
 
+def test_full_shards_exchange(spark):
+    """All documents in pairs: no unlinked document leaves room, so shards can only swap."""
+    d = spark.createDataFrame([(i, f"pair {i // 2}") for i in range(2000)], "doc_id long, text string")
+    got = sharding.shard_documents(d, 10).collect()
+    check_shards(got, 2000, 10)
+    where = defaultdict(set)
+    for r in got:
+        where[r.group].add(r.shard)
+    assert sum(len(w) == 1 for w in where.values()) >= 800
+
+
+def test_flows_fill_what_leaves():
+    flow = sharding.settle_flows([[0, 50, 0], [40, 0, 0], [30, 0, 0]], [0, 5, -10])
+    assert flow[1][0] + flow[2][0] <= flow[0][1] <= 5 + flow[1][0] and flow[2][0] >= 10 and flow[1][0] >= 20
+    assert sharding.settle_flows([[0, 3], [0, 0]], [0, 0]) == [[0, 0], [0, 0]]
+
+
+def test_shards_against_plain_counts(docs, rows, clash):
+    """Size, checksum, group and law of every row; the same rows give the same shards again."""
+    import zlib
+
+    for d in (docs, clash):
+        got = sharding.shard_documents(d, 4).collect()
+        check_shards(got, len(rows), 4)
+        text = lambda r: (r[1] or "").encode()
+        copies = Counter(map(text, rows))
+        assert Counter((r.doc_id, r.size, r.text_crc32, r.group_size) for r in got) == Counter((r[0], len(text(r)) + 16, zlib.crc32(text(r)), copies[text(r)]) for r in rows)
+    again = sharding.shard_documents(docs.repartition(2), 4).collect()
+    assert Counter((r.doc_id, r.size, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.size, r.shard, r.slot) for r in got)
+
+
 def test_shard_edges(empty, clash, rows):
     assert sharding.shard_documents(empty).collect() == []
     got = sharding.shard_documents(clash).collect()

@@ -129,6 +129,22 @@ def test_vector_search_edges(spark):
     assert [(r.rank, r.vec_id) for r in permutation_index.nearest(few, "id % 50 = 0").orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def test_vector_search_counts_ids_not_rows(spark):
+    """A query that repeats ten times hides none of its neighbours; ids with two vectors; extra columns with clashing names."""
+    v = {"a": [1.0, 2.0, 3.0], "b": [-1.0, 0.5, 0.0], "c": [0.3, 2.0, -1.0], "d": [2.0, 1.0, 1.0]}
+    rows = [(50, v["a"])] * 10 + [(51, v["a"]), (52, v["a"]), (53, v["b"]), (54, v["c"]), (55, v["d"]), (53, v["d"]), (100, v["d"])] + [(200 + i, v["b"]) for i in range(30)]
+    d = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, id int, v int, rank int")
+    got = permutation_index.nearest(d, "id % 50 = 0").collect()
+    unit = {k: np.array(x) / np.linalg.norm(x) for k, x in v.items()}
+    owner = {}
+    for i, x in rows:
+        owner.setdefault(i, []).append(next(k for k in v if v[k] == x))
+    for q in (50, 100, 200):
+        best = sorted((-max(round(float(unit[owner[q][0]] @ unit[x]), 12) for x in xs), i) for i, xs in owner.items() if i != q)[:5]
+        assert [(r.rank, r.vec_id) for r in sorted(got) if r.query_id == q] == [(n + 1, i) for n, (_, i) in enumerate(best)]
+    assert len(got) == 15
+
+
 def test_encoding_round_trip(docs, rows, empty, clash):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("byte_bpe_50k.tiktoken")
