@@ -9,9 +9,11 @@ parameters are JSON.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import count
 from typing import Any
 
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .operators import transactions as tx
 from .operators.partitioning import composite_partition, partition_of
-from .storage import saved
+from .storage import saved, shared_dir
 
 
 class UnknownFunction(LookupError):
@@ -71,7 +73,7 @@ class Context:
     def __init__(self, operator: str, key: str, value: Any, scan: Callable[[], dict] | None = None):
         self.operator, self.key = operator, key
         self._value, self._scan = value, scan
-        self.wrote = self.read = False
+        self.wrote = self.read = self.scanned = False
         self.calls: list[tuple[str, str, str, list]] = []
         self.inserts: dict[str, Any] = {}
 
@@ -90,13 +92,17 @@ class Context:
 
     @property
     def data(self) -> dict:
-        """The operator's other keys, where the runner has them at hand."""
+        """All committed keys of the key's partition; every one counts as read."""
         if self._scan is None:
-            raise NotImplementedError("scans run as joins with the state table, not inside functions")
-        self.read = True
+            raise NeedsScan
+        self.read = self.scanned = True
         return self._scan()
 
 
+class NeedsScan(BaseException):
+    """A function asks for its partition, which this pass hasn't got; not an error of the function."""
+
+
 class LocalRunner:
     """Serial execution, one request after another, each all or nothing: the reference for the distributed runs."""
 
@@ -134,18 +140,24 @@ class LocalRunner:
         self.state |= buffer
         return response, None
 
+    def send_batch(self, events: Iterable[tuple]) -> list[tuple[Any, str | None]]:
+        """Responses and errors of ``(operator, key, function, params)``, in their order."""
+        return [self.send_event(*e) for e in events]
+
 
+REPLY = "t_id long, response string, error string"
 STEP = "kind string, t_id long, round int, ordinal string, operator string, key string, function string, params string, value string"
 
 
 @dataclass
 class Epoch:
-    """Outcome of an epoch: the new state, replies, and requests that wait for the next one."""
+    """Outcome of an epoch: the new state, replies, requests that wait for the next one, accesses, and the keys that changed."""
 
     state: DataFrame
     replies: DataFrame
     rescheduled: DataFrame
     accesses: DataFrame
+    changes: DataFrame
 
 
 class Session:
@@ -166,17 +178,25 @@ class Session:
                 out = []
                 for m in pdf.itertuples(index=False):
                     own = m.own if isinstance(m.own, str) else m.value if isinstance(m.value, str) else None
-                    ctx = Context(m.operator, m.key, own)
+                    rows = getattr(m, "rows", None)
+                    scan = (lambda r=rows: {x["key"]: json.loads(x["value"]) for x in r}) if rows is not None else None
+                    ctx = Context(m.operator, m.key, own, scan)
                     row = (m.t_id, m.round, m.ordinal, m.operator, m.key)
                     try:
                         r = graph.function(m.operator, m.function)(ctx, *json.loads(m.params))
+                    except NeedsScan:
+                        out.append(("scan", *row, m.function, m.params, m.own))
+                        continue
                     except Exception as e:  # a user function's error aborts its request
                         out.append(("error", *row, None, None, f"{type(e).__name__}: {e}"))
                         continue
                     if ctx.read:
                         out.append(("r", *row, None, None, None))
+                    if ctx.scanned:
+                        out += [("r", *row[:4], x["key"], None, None, None) for x in rows if x["key"] != m.key]
                     if ctx.wrote:
                         out.append(("w", *row, None, None, ctx._value))
+                    out += [("insert", *row[:4], k, None, None, json.dumps(v)) for k, v in ctx.inserts.items()]
                     if r is not None:
                         out.append(("response", *row, None, None, json.dumps(r)))
                     for i, (op, k, f, p) in enumerate(ctx.calls):
@@ -184,14 +204,24 @@ class Session:
                 yield pd.DataFrame(out, columns=["kind", "t_id", "round", "ordinal", "operator", "key", "function", "params", "value"])
 
         done, writes = None, self.spark.createDataFrame([], "t_id long, operator string, key string, own string")
+        call = ["t_id", "round", "ordinal", "operator", "key", "function", "params"]
+        part = self.graph.partition_column()
         for _ in range(self.max_rounds):
             held = messages.join(state.select("operator", "key", "value"), ["operator", "key"], "left").join(writes, ["t_id", "operator", "key"], "left")
-            steps = saved(held.select("t_id", "round", "ordinal", "operator", "key", "function", "params", "value", "own").mapInPandas(run, STEP), "steps")
+            steps = saved(held.select(*call, "value", "own").mapInPandas(run, STEP), "steps")
+            if not (scans := steps.filter("kind = 'scan'")).isEmpty():
+                # Functions that ask for their partition run again, with its committed rows.
+                asked = scans.select(*call, F.col("value").alias("own"), part.alias("part"))
+                wanted = state.join(asked.select("operator", "part").distinct(), ["operator", "part"], "left_semi")
+                rows = wanted.groupBy("operator", "part").agg(F.collect_list(F.struct("key", "value")).alias("rows"))  # what the function asks for
+                again = asked.join(rows, ["operator", "part"], "left").join(state.select("operator", "key", "value"), ["operator", "key"], "left")
+                again = again.select(*call, "value", "own", F.coalesce("rows", F.array().cast("array<struct<key:string,value:string>>")).alias("rows"))
+                steps = steps.filter("kind <> 'scan'").unionByName(saved(again.mapInPandas(run, STEP), "scans"))
             done = steps if done is None else done.unionByName(steps)
             calls = steps.filter("kind = 'call'")
             if calls.isEmpty():
                 return done.filter("kind <> 'call'")
-            messages = calls.select("t_id", "round", "ordinal", "operator", "key", "function", "params")
+            messages = calls.select(*call)
             own = done.filter("kind = 'w'").groupBy("t_id", "operator", "key").agg(F.max_by("value", F.struct("round", "ordinal")).alias("own"))
             writes = own
         raise RuntimeError(f"a chain takes more than {self.max_rounds} rounds")
@@ -206,19 +236,28 @@ class Session:
         total, n_lost = requests.count(), lost.count()
         out = errors.select("t_id", F.lit(True).alias("x")).unionByName(lost.select("t_id", F.lit(True).alias("x")))
         kept = steps.join(out, "t_id", "left_anti")
-        written = tx.last_writes(kept.filter("kind = 'w'").select("operator", self.graph.partition_column().alias("part"), "key", "t_id", "round", "ordinal", "value"))
-        state = saved(tx.commit(state, written), "state")
-        replies = kept.filter("kind = 'response'").groupBy("t_id").agg(F.max_by("value", F.struct("round", "ordinal")).alias("response")).withColumn("error", F.lit(None).cast("string")).unionByName(errors.select("t_id", F.lit(None).cast("string").alias("response"), "error"))
+        part = self.graph.partition_column()
+        written = saved(tx.last_writes(kept.filter("kind = 'w'").select("operator", part.alias("part"), "key", "t_id", "round", "ordinal", "value")), "written")
+        # Bulk inserts take part in no conflict and stay even if their request is re-run; a write of the key wins.
+        inserted = tx.last_writes(steps.filter("kind = 'insert'").select("operator", part.alias("part"), "key", "t_id", "round", "ordinal", "value"))
+        changes = [inserted.join(written, ["operator", "part", "key"], "left_anti").unionByName(written)]
+        replies = kept.filter("kind = 'response'").groupBy("t_id").agg(F.max_by("value", F.struct("round", "ordinal")).alias("response"))
+        silent = requests.select("t_id").join(out, "t_id", "left_anti").join(replies, "t_id", "left")  # a function that returns nothing is answered, too
+        replies = silent.withColumn("error", F.lit(None).cast("string")).unionByName(errors.select("t_id", F.lit(None).cast("string").alias("response"), "error"))
         losers = requests.join(lost.select("t_id"), "t_id", "left_semi")
         if n_lost and n_lost > self.threshold * total:
-            state, more, losers = self._fallback(losers, state, acc, lost)
-            replies = saved(replies.unionByName(more), "replies")
-        return Epoch(state, replies, losers, acc)
+            more, losers, rerun = self._fallback(losers, tx.commit(state, changes[0]), acc, lost)
+            changes.append(rerun)
+            replies = replies.unionByName(more)
+        stamped = [c.withColumn("step", F.lit(i)) for i, c in enumerate(changes)]
+        changed = stamped[0] if len(stamped) == 1 else stamped[0].unionByName(stamped[1])
+        changed = saved(changed.groupBy("operator", "part", "key").agg(F.max_by("value", "step").alias("value")), "changes")
+        return Epoch(tx.commit(state, changed), saved(replies, "replies"), saved(losers, "losers"), acc, changed)
 
     def _fallback(self, losers: DataFrame, state: DataFrame, acc: DataFrame, lost: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Re-runs the losers in t_id order, component by component, each over the keys it touched before.
 
-        A loser that now touches another existing key waits for the next epoch.
+        Replies, losers that wait, and changed keys. A loser that now touches another existing key waits for the next epoch.
         """
         graph = self.graph
         comp = tx.fallback_components(tx.fallback_dependencies(acc, lost))
@@ -247,23 +286,36 @@ class Session:
         ran = saved(todo.groupBy("component").cogroup(held.groupBy("of")).applyInPandas(run, "kind string, t_id long, operator string, key string, value string"), "fallback")
         waits = ran.filter("kind = 'drift'").select("t_id")
         w = ran.filter("kind = 'w'").select("operator", graph.partition_column().alias("part"), "key", "t_id", "value")
-        state = saved(tx.commit(state, tx.last_writes(w)), "state")
         replies = ran.filter("kind IN ('response', 'error')").select("t_id", F.when(F.col("kind") == "response", F.col("value")).alias("response"), F.when(F.col("kind") == "error", F.col("value")).alias("error"))
-        return state, replies, losers.join(waits, "t_id", "left_semi")
+        return replies, losers.join(waits, "t_id", "left_semi"), tx.last_writes(w)
+
+    def epochs(self, requests: DataFrame, state: DataFrame, epoch_size: int, compact_every: int = 8) -> Iterator[Epoch]:
+        """All requests in epochs of ``epoch_size``, losers first in the next one, until none waits.
 
-    def run(self, requests: DataFrame, state: DataFrame, epoch_size: int, max_epochs: int = 1000) -> tuple[DataFrame, DataFrame]:
-        """All requests in epochs of ``epoch_size``, losers first in the next one. Final state and replies."""
-        last, replies, carried, n = requests.agg(F.max("t_id")).first()[0] or 0, None, None, 0
-        low = 0
-        while n < max_epochs:
+        An epoch's least request commits, so this ends. Epochs write the keys
+        they change; every ``compact_every`` epochs the whole state is written.
+        """
+        bounds = requests.agg(F.min("t_id"), F.max("t_id")).first()
+        low, last = (bounds[0] - 1, bounds[1]) if bounds[0] is not None else (0, 0)
+        carried = None
+        for n in count():
             fresh = requests.filter((F.col("t_id") > low) & (F.col("t_id") <= low + epoch_size))
-            batch = fresh if carried is None else carried.unionByName(fresh)
             if low >= last and (carried is None or carried.isEmpty()):
-                break
-            e = self.run_epoch(saved(batch, "batch"), state, n)
-            state, carried, low, n = e.state, saved(e.rescheduled, "carried"), low + epoch_size, n + 1
-            replies = e.replies if replies is None else replies.unionByName(e.replies)
-        return state, replies
+                return
+            e = self.run_epoch(saved(fresh if carried is None else carried.unionByName(fresh), "batch"), state, n)
+            if n % compact_every == compact_every - 1:
+                e.state = saved(e.state, "state")
+            state, carried, low = e.state, e.rescheduled, min(low + epoch_size, last)
+            yield e
+
+    def run(self, requests: DataFrame, state: DataFrame, epoch_size: int) -> tuple[DataFrame, DataFrame]:
+        """Final state and replies of all requests."""
+        path = f"{shared_dir(self.spark)}/run-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([], REPLY).write.parquet(f"{path}/epoch=-1")
+        for n, e in enumerate(self.epochs(requests, state, epoch_size)):
+            e.replies.write.parquet(f"{path}/epoch={n}")
+            state = e.state
+        return saved(state, "state"), self.spark.read.schema(REPLY).parquet(path).select("t_id", "response", "error")
 
 
 def serial_winners_then_losers(runner: LocalRunner, requests: list[tuple], aborted: set[int]) -> dict[int, tuple]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import asyncio
 import json
 import time
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import Future
 from dataclasses import dataclass
 from typing import Any
 
@@ -38,6 +40,7 @@ class Client:
         self._waiting: list[tuple] = []
         self._sent: dict[str, float] = {}
         self._done: dict[str, Response] = {}
+        self._futures: dict[str, Future] = {}
         self._next = 1
 
     def init_data(self, operator: str, rows: dict) -> None:
@@ -53,6 +56,30 @@ class Client:
         self._next += 1
         return request_id
 
+    def submit(self, operator: str, key: Any, function: str, params: Iterable = ()) -> Future:
+        """As ``send_event``, with a future of the response; it is done once the batch has run."""
+        future: Future = Future()
+        self._futures[self.send_event(operator, key, function, params)] = future
+        return future
+
+    def send_batch(self, events: Iterable[tuple]) -> list[str]:
+        """Queues ``(operator, key, function, params)`` and returns their ids."""
+        return [self.send_event(*e) for e in events]
+
+    def update(self, graph: Graph) -> list[tuple]:
+        """Takes a changed graph: rows of operators with another number of partitions are placed anew. Returns those."""
+        changes = spec_changes(graph_spec(self.graph), graph_spec(graph))
+        if changes["added"]:
+            raise ValueError(f"an update may not add operators: {changes['added']}")
+        self.flush()
+        self.graph = self.session.graph = graph
+        if self.state is not None and changes["moved"]:
+            self.state = saved(self.session.state_of(self.state), "state")
+        return changes["moved"]
+
+    def close(self) -> None:
+        self.flush()
+
     def flush(self) -> None:
         if not self._waiting:
             return
@@ -64,6 +91,8 @@ class Client:
             r = found.get(w[1] - first)
             value = json.loads(r["response"]) if r is not None and r["response"] is not None else None
             self._done[w[0]] = Response(w[0], value, r["error"] if r is not None else None, 1000 * (now - self._sent.pop(w[0])))
+            if w[0] in self._futures:
+                self._futures.pop(w[0]).set_result(self._done[w[0]])
         self._waiting = []
 
     def get(self, request_id: str) -> Response:
@@ -72,6 +101,25 @@ class Client:
         return self._done[request_id]
 
 
+class AsyncClient:
+    """A client for coroutines: responses of all requests that wait at one time come from one run of epochs."""
+
+    def __init__(self, client: Client):
+        self.client, self._run = client, None
+
+    async def send_event(self, operator: str, key: Any, function: str, params: Iterable = ()) -> Response:
+        future = self.client.submit(operator, key, function, params)
+        if self._run is None:
+            self._run = asyncio.ensure_future(self._flush())
+        await self._run
+        return future.result()
+
+    async def _flush(self) -> None:
+        await asyncio.sleep(0)  # lets the other coroutines send theirs
+        self._run = None
+        self.client.flush()
+
+
 def graph_spec(graph: Graph) -> str:
     """Operators, partition counts and function names as JSON."""
     return json.dumps({"name": graph.name, "operators": {n: {"partitions": o.n_partitions, "composite": o.composite, "functions": sorted(o.functions)} for n, o in sorted(graph.operators.items())}}, sort_keys=True)

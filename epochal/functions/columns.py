@@ -26,8 +26,15 @@ def last_name(number) -> Column:
 
 
 def uniform(seed: int, *cols) -> Column:
-    """Deterministic number in [0, 1) from a hash of the columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """Deterministic number in [0, 1): 52 bits of the digest of seed and columns, as other engines can compute it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def derived_uuid(*cols) -> Column:
+    """An id in the usual form that is the same for the same request on every run."""
+    h = F.md5(F.concat_ws(":", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]).cast("binary"))
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
 def non_uniform(a: int, x: int, y: int, c: int, seed: int, *cols) -> Column:

@@ -24,6 +24,45 @@ def auto_regression(values: np.ndarray, p: int, horizon: int) -> np.ndarray:
     return np.array(out)
 
 
+def snarimax(values: np.ndarray, horizon: int, p: int = 3, d: int = 1, q: int = 2, m: int = 24, forget: float = 0.995) -> np.ndarray:
+    """Seasonal autoregression on ``d`` differences with moving errors, learnt value by value.
+
+    Each difference is predicted from the ``p`` before it, the last ``q`` errors
+    and the one a season of ``m`` ago; recursive least squares (with slow
+    forgetting) then takes in what came. Forecasts feed on themselves with errors
+    of zero, and are summed back ``d`` times.
+    """
+    series, last = values.astype(float), []
+    for _ in range(d):
+        if len(series):
+            last.append(series[-1])
+            series = np.diff(series)
+    n = 2 + p + q
+    w, cov = np.zeros(n), np.eye(n) * 1000.0
+    past, errors = [], [0.0] * q
+
+    def inputs() -> np.ndarray:
+        lags = [past[-k] if len(past) >= k else 0.0 for k in range(1, p + 1)]
+        return np.array([1.0, *lags, *errors, past[-m] if len(past) >= m else 0.0])
+
+    for y in series:
+        x = inputs()
+        error = y - w @ x
+        gain = cov @ x / (forget + x @ cov @ x)
+        w, cov = w + gain * error, (cov - np.outer(gain, x @ cov)) / forget
+        past.append(float(y))
+        errors = [float(error), *errors][:q]
+    out = []
+    for _ in range(horizon):
+        past.append(float(w @ inputs()))
+        errors = [0.0, *errors][:q]
+        out.append(past[-1])
+    result = np.array(out)
+    for end in reversed(last):
+        result = end + np.cumsum(result)
+    return result
+
+
 def empirical_quantile(values: np.ndarray, q: float, context: int, horizon: int) -> np.ndarray:
     """The recent values' quantile; zero below the least context."""
     return np.full(horizon, np.quantile(values[-context:], q) if len(values) >= context else 0.0)
@@ -42,6 +81,7 @@ FORECASTERS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
     "last": lambda v, h: np.full(h, v[-1] if len(v) else 0.0),
     "mean10": lambda v, h: np.full(h, v[-10:].mean() if len(v) else 0.0),
     "ar4": lambda v, h: auto_regression(v, 4, h),
+    "snarimax": snarimax,
     "quantile75": lambda v, h: empirical_quantile(v, 0.75, 24, h),
 }
 

@@ -23,6 +23,11 @@ def composite_partition(key, delimiter: str, field: int, n: int) -> Column:
     return partition_of(F.split_part(key, F.lit(delimiter), F.lit(field + 1)), n)
 
 
+def update_partitions(df: DataFrame, n: int, key: str = "key", part: str = "part") -> DataFrame:
+    """Every key's partition after a change of their number; the one before in ``old_part``."""
+    return df.withColumnRenamed(part, f"old_{part}").withColumn(part, partition_of(key, n))
+
+
 def range_partition(df: DataFrame, key: str, ranges: list[tuple[int, int]]) -> DataFrame:
     """Adds ``part``: the index of the inclusive range that holds the key; fails on a miss."""
     bounds = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in ranges])

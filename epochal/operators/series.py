@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +17,6 @@ def fold(df: DataFrame, keys: list[str], order: list[str], fields: list[str], in
     return df.groupBy(*keys).agg(agg.alias(out))
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], fields: list[str], init: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """Like ``fold``, but a row for every step, with the state after it in ``state``."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order])))
-    g = df.groupBy(*keys).agg(rows.alias("rows"))
-    # The states of all prefixes, by one aggregate that appends each state.
-    first = F.transform(F.slice("rows", 1, 1), lambda r: step(init, r))
-    rest = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), first, lambda acc, r: F.concat(acc, F.array(step(F.element_at(acc, -1), r))))
-    return g.select(*keys, F.explode(F.arrays_zip("rows", rest.alias("state"))).alias("z")).select(*keys, "z.rows.*", F.col("z.state").alias("state"))
-
-
 def rolling_mean(value: str, keys: list[str], order: list[str], rows: int) -> Column:
     return F.avg(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0))
 
@@ -69,17 +61,25 @@ def capacity_ewma(df: DataFrame, keys: list[str], order: list[str], alpha: float
 
 
 def gap_buckets(df: DataFrame, keys: list[str], ts: str, width: int) -> DataFrame:
-    """Greedy buckets: a new one opens at a time more than ``width`` after the open bucket's start. One row a bucket."""
-    init = F.array().cast("array<struct<start:bigint,n:bigint>>")
-
-    def step(acc, r):
-        t = r[ts].cast("long")
-        last = F.element_at(acc, -1)
-        opened = F.concat(acc, F.array(F.struct(t.alias("start"), F.lit(1).cast("long").alias("n"))))
-        more = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), (last["n"] + 1).alias("n"))))
-        return F.when(F.size(acc) == 0, opened).when(t - last["start"] > width, opened).otherwise(more)
-
-    return fold(df, keys, [ts], [], init, step, out="b").select(*keys, F.explode("b").alias("b")).select(*keys, "b.start", "b.n")
+    """Greedy buckets: a new one opens at a time more than ``width`` after the open bucket's start. One row a bucket.
+
+    Each bucket's end is found by bisection in the key's sorted times, so the
+    work is linear; a key's distinct times, with their counts, must fit in memory.
+    """
+    times = df.groupBy(*keys, F.col(ts).cast("long").alias("start")).agg(F.count("*").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start")
+        t, n = pdf["start"].to_numpy(), np.r_[0, pdf["n"].to_numpy().cumsum()]
+        cuts = [0]
+        while cuts[-1] < len(t):
+            cuts.append(int(np.searchsorted(t, t[cuts[-1]] + width, "right")))
+        out = pd.DataFrame({"start": t[cuts[:-1]], "n": np.diff(n[cuts])})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    return times.groupBy(*keys).applyInPandas(run, times.select(*keys, "start", "n").schema)
 
 
 def floor_buckets(ts, width: int) -> Column:

@@ -8,9 +8,10 @@ transaction; nothing is gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .components import components
 
 KEY = ["epoch", "operator", "part", "key"]
@@ -24,10 +25,40 @@ def sequencer_ids(workers: DataFrame) -> DataFrame:
     return workers.withColumn("sid", F.row_number().over(Window.orderBy("worker")).cast("long"))
 
 
+#: Rows of a key that one task should number.
+PLACE_ROWS = 1 << 20
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column | str], rows: int = PLACE_ROWS) -> DataFrame:
+    """Adds the sums (name: value) over a key's rows before each row in ``order``, whose first column is a number.
+
+    The first column's range is cut into buckets of about ``rows`` rows; rows are
+    summed up in their bucket and shifted by the prefix sums of the buckets'
+    totals, so that no task sorts all rows of a hot key.
+    """
+    first = F.col(order[0]).try_cast("double")
+    stats = df.agg(F.min(first).alias("__lo"), F.max(first).alias("__hi"), F.count("*").alias("__n"))
+    values = {f"__v{i}": F.col(v) if isinstance(v, str) else v for i, v in enumerate(sums.values())}
+    d = df.withColumns(values).crossJoin(F.broadcast(stats))  # one row of three numbers
+    bucket = F.floor((first - F.col("__lo")) * F.ceil(F.col("__n") / rows) / (F.col("__hi") - F.col("__lo") + 1))
+    d = d.withColumn("__b", F.coalesce(bucket, F.lit(-1)).cast("long")).drop("__lo", "__hi", "__n")
+    totals = d.groupBy(*keys, "__b").agg(*[F.sum(v).alias(v) for v in values])
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0))
+    totals = totals.select(*keys, "__b", *[so_far(v, upto(*keys).orderBy("__b")).alias(f"{v}_") for v in values])
+    d = d.withColumns({v: so_far(v, upto(*keys, "__b").orderBy(*order)) for v in values}).join(totals, [*keys, "__b"])
+    return d.select(*df.columns, *[(F.col(v) + F.col(f"{v}_")).alias(name) for name, v in zip(sums, values)])
+
+
+def place(df: DataFrame, keys: list[str], order: list[str], out: str, rows: int = PLACE_ROWS) -> DataFrame:
+    """Adds ``out``: a row's place, from 0, among its key's rows in ``order``."""
+    return running(df, keys, order, {out: F.lit(1).cast("long")}, rows)
+
+
 def sequence(requests: DataFrame, worker: str, order: list[str], n_workers: int, epoch_size: int) -> DataFrame:
     """Adds ``t_id = sid + i * n_workers`` and ``epoch = i div epoch_size``, with ``i`` the place in the worker's log."""
-    i = F.row_number().over(Window.partitionBy(worker).orderBy(*order)).cast("long") - 1
-    return requests.withColumn("i", i).withColumns({"t_id": F.col(worker) + 1 + F.col("i") * n_workers, "epoch": F.floor(F.col("i") / epoch_size)}).drop("i")
+    d = place(requests, [worker], order, "__i")
+    return d.withColumns({"t_id": F.col(worker) + 1 + F.col("__i") * n_workers, "epoch": F.floor(F.col("__i") / epoch_size)}).drop("__i")
 
 
 def replay(requests: DataFrame, wal: DataFrame, worker: str, order: list[str], n_workers: int) -> DataFrame:
@@ -104,6 +135,26 @@ def epoch_stats(requests: DataFrame, logic: DataFrame, concurrency: DataFrame) -
     return d.groupBy("epoch").agg(F.count("*").alias("processed"), F.sum(la).cast("long").alias("logic_aborts"), F.sum(F.when(la == 0, ca).otherwise(0)).cast("long").alias("concurrency_aborts"), F.sum(F.when((la == 0) & (ca == 0), 1).otherwise(0)).cast("long").alias("committed"))
 
 
+def worker_stats(requests: DataFrame, accesses: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """Counters of each worker's epochs, from ``requests`` (with ``lost`` for losers) and the ``accesses`` of its transactions."""
+    k = ["epoch", "worker"]
+    logic, lost = F.count_if(F.col("function") == "error"), F.count("lost")
+    q = requests.groupBy(*k).agg(F.count("*").alias("total_txns"), logic.alias("logic_aborts"), lost.alias("concurrency_aborts"), F.greatest(F.max("ts_ms") - F.min("ts_ms"), F.lit(1)).alias("epoch_latency"), F.round(F.sum("arg"), 4).alias("func_time"), F.max("request_id").alias("last_offset"), F.countDistinct("function").alias("functions"))
+    a = accesses.groupBy(*k).agg(F.count_if(F.col("mode") == "r").alias("reads"), F.count_if(F.col("mode") == "w").alias("writes"), F.countDistinct("key").alias("key_counts"), F.countDistinct("part").alias("partitions"))
+    n, ca = F.col("total_txns"), F.col("concurrency_aborts")
+    by_worker = Window.partitionBy("worker")
+    d = q.join(a, k, "left").na.fill(0, ["reads", "writes", "key_counts", "partitions"])
+    d = d.withColumns({"committed_lock_free": n - F.col("logic_aborts") - ca, "committed_fallback": F.when(ca > threshold * n, ca).otherwise(F.lit(0)), "local_abort_rate": F.round(ca / n, 6), "cpu_utilization": F.round(F.col("func_time") / F.col("epoch_latency"), 6), "input_rate": n, "empty_epoch": n == 0})
+    d = d.withColumn("committed_txns", F.col("committed_lock_free") + F.col("committed_fallback"))
+    backlog = F.sum("total_txns").over(by_worker) - F.sum("total_txns").over(by_worker.orderBy("epoch"))  # a row an epoch
+    return d.withColumns({"epoch_throughput": F.floor(F.col("committed_txns") * 1000 / F.col("epoch_latency")), "queue_backlog": backlog})
+
+
+def barrier(reports: DataFrame, n_workers: int) -> DataFrame:
+    """Per epoch, the largest offset and counter of all workers' reports, and whether each has sent one."""
+    return reports.groupBy("epoch").agg(F.max("last").alias("counter"), F.max("t").alias("t_counter"), F.sum("n").alias("requests"), (F.count("*") == n_workers).alias("complete"))
+
+
 # --- commit, deltas, snapshots ---------------------------------------------------
 
 
@@ -140,6 +191,12 @@ def compact(deltas: DataFrame, upto: int) -> DataFrame:
     return old.unionByName(deltas.filter(F.col("snapshot_id") > upto))
 
 
+def snapshot_sizes(deltas: DataFrame, size: Column, n_parts: int) -> DataFrame:
+    """Per snapshot: partitions, keys and bytes stored, and whether all partitions are there."""
+    p = deltas.groupBy("snapshot_id", "operator", "part").agg(F.count("*").alias("keys"), F.sum(size).alias("bytes"))
+    return p.groupBy("snapshot_id").agg(F.count("*").alias("parts"), F.sum("keys").alias("keys"), F.sum("bytes").alias("bytes"), (F.count("*") == n_parts).alias("complete"))
+
+
 def exactly_once(replies: DataFrame, sent: DataFrame | None = None) -> DataFrame:
     """One reply a request: the first by time; requests already answered are left out."""
     if sent is not None:
@@ -156,13 +213,36 @@ def fallback_dependencies(accesses: DataFrame, losers: DataFrame) -> DataFrame:
     """``(epoch, t_id, depends_on)``: for each key, a loser waits for the next smaller loser on it.
 
     Waiting for the next smaller one implies waiting for all smaller ones, so a
-    hot key costs a chain, not all pairs.
+    hot key costs a chain, not all pairs. ``all_dependencies`` has all pairs.
     """
     mine = accesses.join(losers, ["epoch", "t_id"], "left_semi").select(*KEY, "t_id").distinct()
     before = F.lag("t_id").over(Window.partitionBy(*KEY).orderBy("t_id"))
     return mine.withColumn("depends_on", before).filter("depends_on IS NOT NULL").select("epoch", "t_id", "depends_on").distinct()
 
 
+def all_dependencies(accesses: DataFrame, losers: DataFrame) -> DataFrame:
+    """``(epoch, t_id, depends_on)``: every smaller loser that accessed a key of the loser's. A report; runs need the chain only."""
+    mine = accesses.join(losers, ["epoch", "t_id"], "left_semi").select(*KEY, "t_id").distinct()
+    other = mine.withColumnRenamed("t_id", "depends_on")
+    return mine.join(other, KEY).filter("depends_on < t_id").select("epoch", "t_id", "depends_on").distinct()
+
+
+def fallback_levels(dependencies: DataFrame) -> DataFrame:
+    """``(epoch, t_id, level)``: 0 for a loser that waits for none, else one more than the highest of those it waits for.
+
+    Each step settles the losers all of whose dependencies are settled; a step is
+    a written table, and there are as many as the longest chain has links.
+    """
+    d = saved(dependencies.select("epoch", "t_id", "depends_on").distinct(), "waits")
+    ends = d.select("epoch", F.col("depends_on").alias("t_id")).unionByName(d.select("epoch", "t_id")).distinct()
+    done = saved(ends.join(d, ["epoch", "t_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    while not (left := saved(d.join(done.select("epoch", "t_id"), ["epoch", "t_id"], "left_anti"), "waits")).isEmpty():
+        known = done.select("epoch", F.col("t_id").alias("depends_on"), "level")
+        ready = left.join(known, ["epoch", "depends_on"], "left").groupBy("epoch", "t_id").agg((F.max("level") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        done, d = saved(done.unionByName(ready.filter("open = 0").drop("open")), "levels"), left
+    return done
+
+
 def fallback_components(dependencies: DataFrame) -> DataFrame:
     """``(t_id, component)``: transactions that must be re-run in one order."""
     return components(dependencies.select(F.col("t_id").alias("a"), F.col("depends_on").alias("b")), "fallback").select(F.col("v").alias("t_id"), F.col("root").alias("component"))
@@ -184,18 +264,25 @@ def rw_drift(first: DataFrame, second: DataFrame, state: DataFrame) -> DataFrame
 # --- chains --------------------------------------------------------------------------
 
 
-def ack_shares(calls: DataFrame, depth: int) -> DataFrame:
-    """Completion share of each call: the parent's share over its fan-out, level by level to ``depth``.
+def ack_shares(calls: DataFrame) -> DataFrame:
+    """Completion share of each call: the parent's share over its fan-out, level by level until no call is left.
 
-    ``calls (t_id, call, parent)`` with a null parent at the root.
+    ``calls (t_id, call, parent)`` with a null parent at the root. A call's
+    leaves and shares are those of the calls that call no others.
     """
+    calls = saved(calls, "calls")
     fan = calls.filter("parent IS NOT NULL").groupBy("t_id", F.col("parent").alias("call")).agg(F.count("*").alias("fan"))
-    level = calls.filter("parent IS NULL").select("t_id", "call", F.lit(1.0).alias("share"))
-    done = level.join(fan, ["t_id", "call"], "left_anti")
-    for _ in range(depth):
-        level = level.join(fan, ["t_id", "call"]).select("t_id", F.col("call").alias("parent"), (F.col("share") / F.col("fan")).alias("share")).join(calls.select("t_id", "call", "parent"), ["t_id", "parent"]).select("t_id", "call", "share")
-        done = done.unionByName(level.join(fan, ["t_id", "call"], "left_anti"))
-    return done.groupBy("t_id").agg(F.count("*").alias("leaves"), F.sum("share").alias("share"))
+    calls = saved(calls.join(fan, ["t_id", "call"], "left"), "calls")
+    level = calls.filter("parent IS NULL").select("t_id", "call", F.lit(1.0).alias("share"), "fan")
+    below = calls.filter("parent IS NOT NULL").select("t_id", "call", "parent", F.col("fan").alias("own_fan"))
+    done = None
+    while True:
+        leaves = level.filter("fan IS NULL").select("t_id", "share")
+        done = leaves if done is None else done.unionByName(leaves)
+        inner = level.filter("fan IS NOT NULL").select("t_id", F.col("call").alias("parent"), (F.col("share") / F.col("fan")).alias("share"))
+        level = saved(inner.join(below, ["t_id", "parent"]).select("t_id", "call", "share", F.col("own_fan").alias("fan")), "level")
+        if level.isEmpty():
+            return done.groupBy("t_id").agg(F.count("*").alias("leaves"), F.sum("share").alias("share"))
 
 
 def chain_replies(steps: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import haversine_km
-
+from ..functions.columns import EARTH_KM, haversine_km
+from ..storage import saved
+from .transactions import running
 
 
 # --- accounts ------------------------------------------------------------------
@@ -67,13 +70,20 @@ def prefixed_text(rows: DataFrame, key: str, order: str, text: str, limit: int)
 def nearby(searches: DataFrame, hotels: DataFrame, km: float, n: int) -> DataFrame:
     """The ``n`` nearest hotels within ``km`` of each search.
 
-    Both sides are dealt to cells of latitude at least ``km`` high and meet in
-    neighbouring cells, so a search sees a band of hotels, not all.
+    Both sides are dealt to cells of latitude and longitude at least ``km`` high;
+    a search meets the hotels of its own and the neighbouring cells: towards the
+    poles, where meridians lie closer, of as many as its radius spans.
     """
     height = km / 111.0
-    cell = lambda lat: F.floor(F.col(lat) / height)
-    near = searches.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: cell("lat") + i)))
-    pairs = near.join(hotels.withColumn("cell", cell("h_lat")), "cell")
+    around = max(1, int(360 / height))
+    row = lambda lat: F.floor(F.col(lat) / height)
+    column = lambda lon: F.floor((lon + 180) * around / 360)
+    ratio = F.lit(math.sin(km / EARTH_KM)) / F.cos(F.radians(F.col("lat")))
+    reach = F.when(ratio < 1, F.degrees(F.asin(ratio)) + 1e-9).otherwise(F.lit(180.0))
+    lon = F.col("lon")
+    columns = F.array_distinct(F.transform(F.sequence(column(lon - reach), column(lon + reach)), lambda c: F.pmod(c, F.lit(around))))
+    near = searches.withColumn("row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: row("lat") + i))).withColumn("column", F.explode(columns))
+    pairs = near.join(hotels.withColumns({"row": row("h_lat"), "column": F.pmod(column(F.col("h_lon")), F.lit(around))}), ["row", "column"])
     pairs = pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("h_lat"), F.col("h_lon"))).filter(F.col("km") < km)
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("km", "hotel"))).filter(F.col("rank") <= n).select("request_id", "hotel", "rank", "km")
 
@@ -83,6 +93,37 @@ def admit(requests: DataFrame, key: str, order: str, capacity: str) -> DataFrame
     return requests.withColumn("admitted", F.row_number().over(Window.partitionBy(key).orderBy(order)) <= F.col(capacity))
 
 
+def settle(demands: DataFrame, capacity: DataFrame) -> DataFrame:
+    """``(t_id, admitted)``: requests that get all of their ``demands (t_id, resource, amount)``, in t_id order, or nothing.
+
+    The result of the serial fold over ``capacity (resource, capacity)``, found
+    in rounds. A request is in when its demands fit even if all undecided ones
+    before it get theirs, and out when one doesn't fit beside those that are in.
+    Each round settles the least undecided request at least, and all that don't
+    hang on an undecided one; it is a written table. Running sums are dealt to
+    buckets, so a resource that all want needs no task of its own.
+    """
+    d = demands.groupBy("t_id", "resource").agg(F.sum("amount").alias("amount")).join(capacity, "resource", "left")
+    d = saved(d.withColumn("capacity", F.coalesce("capacity", F.lit(0))).withColumn("state", F.lit(None).cast("boolean")), "demands")
+    while True:
+        sums = {"taken": F.when(F.col("state"), F.col("amount")).otherwise(0), "open": F.when(F.col("state").isNull(), F.col("amount")).otherwise(0)}
+        r = running(d, ["resource"], ["t_id"], sums).filter("state IS NULL")
+        left = F.col("capacity") - F.col("taken") - F.col("amount")
+        out = r.groupBy("t_id").agg(F.bool_and(left - F.col("open") >= 0).alias("fits"), F.bool_or(left < 0).alias("lacks"))
+        out = saved(out.filter("fits OR lacks").select("t_id", F.col("fits").alias("now")), "settled")
+        if out.isEmpty():
+            return d.groupBy("t_id").agg(F.first("state").alias("admitted"))
+        d = saved(d.join(out, "t_id", "left").withColumn("state", F.coalesce("state", "now")).drop("now"), "demands")
+
+
+def lacking(demands: DataFrame, capacity: DataFrame, settled: DataFrame) -> DataFrame:
+    """``(t_id, resource)``: the least resource that each request left out couldn't have."""
+    d = demands.groupBy("t_id", "resource").agg(F.sum("amount").alias("amount")).join(capacity, "resource", "left").join(settled, "t_id")
+    r = running(d, ["resource"], ["t_id"], {"taken": F.when(F.col("admitted"), F.col("amount")).otherwise(0)})
+    short = r.filter(~F.col("admitted") & (F.coalesce("capacity", F.lit(0)) - F.col("taken") < F.col("amount")))
+    return short.groupBy("t_id").agg(F.min("resource").alias("resource"))
+
+
 # --- composition and carts --------------------------------------------------------------
 
 
@@ -93,18 +134,3 @@ def merge_attributes(rows: DataFrame, key: str, name: str, value: str, names: li
 
 def cart_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("order").agg(F.sum("qty").alias("items"), F.sum(F.col("qty") * F.col("price")).alias("total"))
-
-
-def checkout_step(state: dict, order: dict) -> str | None:
-    """One checkout against stock and credit: takes all or nothing; the reason if nothing."""
-    for item, qty in order["items"]:
-        if state["stock"].get(item, 0) < qty:
-            return f"no stock of {item}"
-    if state["credit"].get(order["user"], 0) < order["total"]:
-        return "no credit"
-    for item, qty in order["items"]:
-        state["stock"][item] -= qty
-    state["credit"][order["user"]] -= order["total"]
-    return None
-
-

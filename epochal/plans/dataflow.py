@@ -156,6 +156,23 @@ def fallback_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return tx.fallback_dependencies(a, tx.conflicts(a))
 
 
+_LOSERS = b.SQL_RES + ", mine AS (SELECT DISTINCT epoch, operator, part, key, t_id FROM acc JOIN ser USING (epoch, t_id)), dep AS (SELECT DISTINCT a.epoch, a.t_id, o.t_id AS depends_on FROM mine a JOIN mine o USING (epoch, operator, part, key) WHERE o.t_id < a.t_id)"
+
+
+@query("WITH " + _LOSERS + " SELECT * FROM dep")
+def fallback_all_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    req = b.requests(spark, d)
+    a = b.live_accesses(req)
+    return tx.all_dependencies(a, tx.conflicts(a))
+
+
+@query("WITH RECURSIVE " + b.SQL_RES + """, mine AS (SELECT DISTINCT epoch, operator, part, key, t_id FROM acc JOIN ser USING (epoch, t_id)),
+l AS (SELECT DISTINCT t_id, lag(t_id) OVER (PARTITION BY epoch, operator, part, key ORDER BY t_id) AS p FROM mine), v AS (SELECT DISTINCT epoch, t_id FROM mine WHERE t_id IN (SELECT p FROM l) OR t_id IN (SELECT t_id FROM l WHERE p IS NOT NULL)),
+r(t_id, level) AS (SELECT t_id, 0 FROM v UNION SELECT l.t_id, r.level + 1 FROM r JOIN l ON l.p = r.t_id) SELECT epoch, r.t_id, CAST(max(level) AS INTEGER) AS level FROM r JOIN v USING (t_id) GROUP BY ALL""")
+def fallback_levels(spark: SparkSession, d: str) -> DataFrame:
+    return tx.fallback_levels(fallback_dependencies(spark, d))
+
+
 @query()
 def fallback_components(spark: SparkSession, d: str) -> DataFrame:
     """Of all epochs; without SQL, the tests hold it against union-find."""
@@ -191,7 +208,7 @@ f AS (SELECT t_id, parent AS call, count(*) AS fan FROM c WHERE parent IS NOT NU
 s(t_id, call, share) AS (SELECT t_id, call, CAST(1 AS DOUBLE) FROM c WHERE parent IS NULL UNION ALL SELECT c.t_id, c.call, s.share / f.fan FROM s JOIN f ON f.t_id = s.t_id AND f.call = s.call JOIN c ON c.t_id = s.t_id AND c.parent = s.call)
 SELECT s.t_id, count(*) AS leaves, round(sum(share), 6) AS share FROM s LEFT JOIN f ON f.t_id = s.t_id AND f.call = s.call WHERE f.fan IS NULL GROUP BY s.t_id""")
 def chain_ack_shares(spark: SparkSession, d: str) -> DataFrame:
-    return tx.ack_shares(_calls(spark, d), 2).select("t_id", "leaves", F.round("share", 6).alias("share"))
+    return tx.ack_shares(_calls(spark, d)).select("t_id", "leaves", F.round("share", 6).alias("share"))
 
 
 @query("""WITH s AS (SELECT user_id AS t_id, event_id // 100 AS round, event_id % 100 AS ordinal, CASE WHEN event_type = 'error' AND value > 150 THEN 'E' || event_id END AS error, CASE WHEN event_type <> 'view' THEN event_type || event_id END AS response FROM events),
@@ -310,6 +327,52 @@ def migration_time(spark: SparkSession, d: str) -> DataFrame:
     return g.select("worker", F.round(elasticity.migration_seconds("keys", "epoch_ms", 2000), 9).alias("seconds"))
 
 
+@query("SELECT CAST(c_custkey % 4 AS INTEGER) AS old_part, CAST(c_custkey % 6 AS INTEGER) AS part, count(*) AS n FROM customer GROUP BY ALL")
+def part_update_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Where the keys of each partition go when the number of partitions changes; keys placed before are placed anew."""
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), partitioning.partition_of("c_custkey", 4).alias("part"))
+    return partitioning.update_partitions(keys, 6).groupBy("old_part", "part").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + b.SQL_REQ + " SELECT epoch, max(last) AS counter, max(t) AS t_counter, sum(n) AS requests, count(*) = 8 AS complete FROM (SELECT epoch, worker, max(request_id) AS last, max(t_id) AS t, count(*) AS n FROM req GROUP BY ALL) GROUP BY epoch")
+def migration_barriers(spark: SparkSession, d: str) -> DataFrame:
+    """What the workers agree on at a barrier: the highest offset and counter of any, once all have reported."""
+    w = b.requests(spark, d).groupBy("epoch", "worker").agg(F.max("request_id").alias("last"), F.max("t_id").alias("t"), F.count("*").alias("n"))
+    return tx.barrier(w, b.WORKERS)
+
+
+_STATS = b.SQL_WRITES + """,
+rq AS (SELECT q.epoch, q.worker, count(*) AS total_txns, count(*) FILTER (function = 'error') AS logic_aborts, count(s.t_id) AS concurrency_aborts, greatest(max(ts_ms) - min(ts_ms), 1) AS epoch_latency, round(sum(arg), 4) AS func_time, max(request_id) AS last_offset, count(DISTINCT function) AS functions FROM req q LEFT JOIN ser s USING (t_id) GROUP BY ALL),
+ac AS (SELECT epoch, t_id % 8 AS w, count(*) FILTER (mode = 'r') AS reads, count(*) FILTER (mode = 'w') AS writes, count(DISTINCT key) AS key_counts, count(DISTINCT part) AS partitions FROM acc_all GROUP BY ALL),
+tot AS (SELECT worker, count(*) AS all_txns FROM req GROUP BY 1)"""
+
+
+@query("WITH " + _STATS + """ SELECT rq.epoch, rq.worker, total_txns, logic_aborts, concurrency_aborts, total_txns - logic_aborts - concurrency_aborts AS committed_lock_free, CASE WHEN concurrency_aborts > 0.1 * total_txns THEN concurrency_aborts ELSE 0 END AS committed_fallback,
+total_txns - logic_aborts - CASE WHEN concurrency_aborts > 0.1 * total_txns THEN 0 ELSE concurrency_aborts END AS committed_txns, round(concurrency_aborts / total_txns, 6) AS local_abort_rate, epoch_latency, (total_txns - logic_aborts - CASE WHEN concurrency_aborts > 0.1 * total_txns THEN 0 ELSE concurrency_aborts END) * 1000 // epoch_latency AS epoch_throughput,
+func_time, round(func_time / epoch_latency, 6) AS cpu_utilization, total_txns AS input_rate, all_txns - sum(total_txns) OVER (PARTITION BY rq.worker ORDER BY rq.epoch) AS queue_backlog, total_txns = 0 AS empty_epoch, coalesce(reads, 0) AS reads, coalesce(writes, 0) AS writes, coalesce(key_counts, 0) AS key_counts, coalesce(partitions, 0) AS partitions, functions, last_offset
+FROM rq JOIN tot USING (worker) LEFT JOIN ac ON ac.epoch = rq.epoch AND ac.w = (rq.worker + 1) % 8""")
+def worker_epoch_stats(spark: SparkSession, d: str) -> DataFrame:
+    """All counters of each worker's epochs that the run's tables tell; those of a phase's wall time need a clock."""
+    req = b.requests(spark, d)
+    lost = tx.conflicts(b.live_accesses(req)).select("t_id", F.lit(1).alias("lost"))
+    acc = b.accesses(req).withColumn("worker", F.pmod(F.col("t_id") - 1, F.lit(b.WORKERS)))
+    return tx.worker_stats(req.join(lost, "t_id", "left"), acc)
+
+
+@query("WITH " + _DELTA + ", p AS (SELECT snapshot_id, operator, part, count(*) AS keys, sum(length(CAST(value AS VARCHAR)) + 8) AS bytes FROM dl GROUP BY ALL) SELECT snapshot_id, count(*) AS parts, CAST(sum(keys) AS BIGINT) AS keys, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) = 4 AS complete FROM p GROUP BY snapshot_id")
+def snapshot_completion(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot is complete once every partition has reported; its size is that of all deltas."""
+    return tx.snapshot_sizes(snapshot_deltas(spark, d), F.length(F.col("value").cast("string")) + 8, 4)
+
+
+@query("WITH done AS (SELECT worker, max(id) AS id FROM (SELECT user_id % 8 AS worker, event_id % 40 AS id FROM events WHERE event_id % 8 <> 3 OR event_id % 40 < 30) GROUP BY 1), last AS (SELECT min(id) AS id FROM done), " + _SQL_ROBIN + " SELECT operator, part, CAST([0, 1, 3][(row_number() OVER (ORDER BY operator, part) - 1) % 3 + 1] AS INTEGER) AS worker, id AS snapshot_id FROM a, last")
+def rebalance_from_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """All partitions dealt anew to the workers that are left, from the last snapshot that every worker has completed."""
+    done = table(spark, d, "events").filter("event_id % 8 <> 3 OR event_id % 40 < 30").select(F.pmod("user_id", F.lit(8)).alias("worker"), (F.col("event_id") % 40).alias("snapshot_id"))
+    last = done.groupBy("worker").agg(F.max("snapshot_id").alias("id")).agg(F.min("id").alias("snapshot_id"))
+    return partitioning.round_robin(_parts(spark, d), ["operator", "part"], [0, 1, 3]).crossJoin(F.broadcast(last))  # one row
+
+
 @query("SELECT coalesce(a.name, b.name) AS name, a.name IS NULL AS added, coalesce(a.p <> b.p, false) AS moved FROM (SELECT n_name AS name, n_regionkey AS p FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_name AS name, CASE WHEN n_nationkey = 3 THEN 9 ELSE n_regionkey END AS p FROM nation) b ON a.name = b.name WHERE a.name IS NULL OR a.p <> b.p")
 def graph_diff(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")

@@ -105,6 +105,12 @@ def forecast_mean10(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast(hourly(spark, d), "name", "hour", "total", "mean10", 3).withColumn("predicted", F.round("predicted", 6))
 
 
+@query()
+def forecast_seasonal(spark: SparkSession, d: str) -> DataFrame:
+    """Online seasonal model of each series; the tests hold it against series whose course is known."""
+    return forecast.forecast(hourly(spark, d), "name", "hour", "total", "snarimax", 6).withColumn("predicted", F.round("predicted", 6))
+
+
 @query()
 def forecast_auto_regression(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast(hourly(spark, d), "name", "hour", "total", "ar4", 6).withColumn("predicted", F.round("predicted", 6))
@@ -115,20 +121,6 @@ def forecast_quantile(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast(hourly(spark, d), "name", "hour", "total", "quantile75", 3).withColumn("predicted", F.round("predicted", 6))
 
 
-@query()
-def generated_hotel_requests(spark: SparkSession, d: str) -> DataFrame:
-    """60 % searches, 39 % recommendations, half a percent each of logins and reservations."""
-    u = fn.uniform(21, F.col("id"))
-    kind = F.when(u < 0.6, "search").when(u < 0.99, "recommend").when(u < 0.995, "login").otherwise("reserve")
-    return spark.range(10_000).select(F.col("id").alias("request_id"), kind.alias("function"), (F.lit(37.7) + fn.uniform(22, F.col("id"))).alias("lat"), (F.lit(-122.5) + fn.uniform(23, F.col("id"))).alias("lon"), F.floor(fn.uniform(24, F.col("id")) * 100).alias("hotel"))
-
-
-@query()
-def generated_reviews(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("id")
-    return spark.range(10_000).select(i.alias("request_id"), F.concat(F.lit("user"), F.floor(fn.uniform(31, i) * 1000).cast("string")).alias("user"), F.floor(fn.uniform(32, i) * 1000).alias("movie"), F.floor(fn.uniform(33, i) * 11).alias("rating"), F.sha2(i.cast("string"), 256).alias("text"))
-
-
 def _streamed(spark: SparkSession, d: str, plan) -> DataFrame:
     """Runs a streaming aggregate over the events to its end; the last batch holds the complete result."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -93,6 +93,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_run_csv(df: DataFrame, path: str) -> None:
+    """Requests or outputs of a run as CSV files with a header, in time order."""
+    df.orderBy("timestamp").write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_replies(replies: DataFrame, path: str, batch: int) -> None:
     """Replies of a batch; writing the batch again replaces it."""
     replies.write.mode("overwrite").parquet(f"{path}/batch={batch}")
