@@ -280,7 +280,7 @@ def ack_shares(calls: DataFrame) -> DataFrame:
         leaves = level.filter("fan IS NULL").select("t_id", "share")
         done = leaves if done is None else done.unionByName(leaves)
         inner = level.filter("fan IS NOT NULL").select("t_id", F.col("call").alias("parent"), (F.col("share") / F.col("fan")).alias("share"))
-        level = saved(inner.join(below, ["t_id", "parent"]).select("t_id", "call", "share", F.col("own_fan").alias("fan")), "level")
+        level = saved(inner.join(below, ["t_id", "parent"]).select("t_id", "call", "share", F.col("own_fan").alias("fan")), "level")  # read at the end, too
         if level.isEmpty():
             return done.groupBy("t_id").agg(F.count("*").alias("leaves"), F.sum("share").alias("share"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_KM, haversine_km
-from ..storage import saved
+from ..storage import discard, saved
 from .transactions import running
 
 
@@ -113,7 +113,8 @@ def settle(demands: DataFrame, capacity: DataFrame) -> DataFrame:
         out = saved(out.filter("fits OR lacks").select("t_id", F.col("fits").alias("now")), "settled")
         if out.isEmpty():
             return d.groupBy("t_id").agg(F.first("state").alias("admitted"))
-        d = saved(d.join(out, "t_id", "left").withColumn("state", F.coalesce("state", "now")).drop("now"), "demands")
+        before, d = d, saved(d.join(out, "t_id", "left").withColumn("state", F.coalesce("state", "now")).drop("now"), "demands")
+        discard(before, out)
 
 
 def lacking(demands: DataFrame, capacity: DataFrame, settled: DataFrame) -> DataFrame:

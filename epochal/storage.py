@@ -12,12 +12,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The configured checkpoint folder; a local one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="epochal-")
-        spark.sparkContext.setCheckpointDir(path)
+    """The application's folder in the configured checkpoint folder; it is deleted when the application ends.
+
+    Where none is configured, a local folder serves a local master; on a cluster
+    that would be another folder on each machine, so there it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="epochal-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root}/epochal-{spark.sparkContext.applicationId}"
+    p, fs = _path(spark, path)
+    if fs.mkdirs(p):
+        fs.deleteOnExit(p)
     return path
 
 
@@ -26,4 +41,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more, such as those of the rounds before."""
+    for df in tables:
+        p, fs = _path(df.sparkSession, df._saved)
+        fs.delete(p, True)

@@ -140,3 +140,23 @@ def test_generated_order_entry_tables(spark, tmp_path):
         back = files.tpcc_csv(spark, f"{tmp_path}/{n}", n)
         assert back.select("key").distinct().count() == rows[n] and sorted(map(str, back.drop("key").collect())) == sorted(map(str, tables[n].collect()))
     assert {r.c_last for r in tables["customer"].select("c_last").filter("c_id = 1").collect()} == {"BARBARBAR"}
+
+
+def test_auto_regression_against_normal_equations(spark):
+    import numpy as np
+
+    from epochal.plans.analytics import hourly
+
+    series = defaultdict(list)
+    for r in hourly(spark, f"{DATA}/sf0.001").orderBy("name", "hour").collect():
+        series[r.name].append(float(r.total))
+    got = {(r.name, r.step): r.predicted for r in registry.QUERIES["forecast_auto_regression"](spark, f"{DATA}/sf0.001").collect()}
+    for name, v in series.items():
+        y = np.array(v)
+        x = np.array([[1.0, *y[t - 4 : t][::-1]] for t in range(4, len(y))])
+        w = np.linalg.solve(x.T @ x, x.T @ y[4:])
+        past = list(y)
+        for step in range(1, 7):
+            past.append(min(max(float(w @ [1.0, *past[-4:][::-1]]), 0.0), 1.5 * y.max()))
+            assert got[name, step] == pytest.approx(past[-1], rel=1e-4, abs=1e-3)
+    assert len(got) == 6 * len(series)
