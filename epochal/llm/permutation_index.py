@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import released, saved
 
-PIVOTS = 512
-PREFIX = 64
+PIVOTS = 2048
+PREFIX = 128
 CANDIDATES = 1536
-SHARD_ROWS = 8192
+SHARD_ROWS = 32768
 QUERY_ROWS = 4096
 
 
@@ -100,15 +100,16 @@ def nearest(vectors: DataFrame, query_filter, k: int = 5, id_col: str = "vec_id"
     def search(t: pa.Table) -> pa.Table:
         asks = np.asarray(t.column("asks"), bool)
         ids, x = np.asarray(t.column("id"), np.int64), matrix(t.column("v"), t.num_rows)
-        perm = np.frombuffer(b"".join(t.column("perm").to_pylist()), np.uint16).reshape(t.num_rows, m).astype(np.int64)
+        perm = np.frombuffer(b"".join(t.column("perm").to_pylist()), np.uint16).reshape(t.num_rows, m)
         own = np.flatnonzero(~asks)
         own = own[np.argsort(ids[own], kind="stable")]
         ids_x, data, px = ids[own], unit(x[own]) if len(own) else x[:0], perm[own]
         size = len(own)
         flat = px.ravel()
         by = np.argsort(flat, kind="stable")
-        post, at = (by // m if m else by), (by % m if m else by)
+        post, at = (by // m).astype(np.int32), (by % m).astype(np.int32)
         heads = np.searchsorted(flat[by], np.arange(len(anchors) + 1))
+        del flat, by
         out = ([], [], [])
         for r in np.flatnonzero(asks) if size else []:
             lists = [(heads[p], heads[p + 1], i) for i, p in enumerate(perm[r].tolist())]

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distributed_rank, saved
+from .common import discard, distributed_rank, saved
 
 SHARDS = 40
 HEAVY = 4
@@ -88,14 +88,15 @@ def _round(cells: DataFrame, quota: list[int], number: int, free: bool, buckets:
     here = cells.withColumn("free", F.element_at(rooms, F.col("s") + 1) if free else F.lit(True))
     best = F.struct("free", "n", F.xxhash64("g", "s", F.lit(number)).alias("h"), "s")
     here = here.withColumn("best", F.max(best).over(by_group)).filter("best.free AND best.s <> s")
-    movers = saved(here.select("g", "s", "n", F.col("best.s").alias("aim"), F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int").alias("b")), "movers")
-    totals = saved(movers.groupBy("s", "aim", "b").agg(F.sum("n").alias("t")), "flows")
+    moving = movers = saved(here.select("g", "s", "n", F.col("best.s").alias("aim"), F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int").alias("b")), "movers")
+    flows = totals = saved(movers.groupBy("s", "aim", "b").agg(F.sum("n").alias("t")), "flows")
     wanted = [[0] * k for _ in range(k)]
     for r in totals.groupBy("s", "aim").agg(F.sum("t").alias("t")).collect():  # n_shards squared rows at most
         wanted[r["s"]][r["aim"]] = r["t"]
     flow = settle_flows(wanted, room)
     allowed = [(s, t, x) for s, row in enumerate(flow) for t, x in enumerate(row) if x]
     if not allowed:
+        discard(moving, flows)
         return None
     allowed = spark.createDataFrame(allowed, "s int, aim int, most long")
     upto = Window.partitionBy("s", "aim").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +106,9 @@ def _round(cells: DataFrame, quota: list[int], number: int, free: bool, buckets:
     moved = F.greatest(F.lit(0), F.least(F.col("n"), F.col("most") - F.col("before") - F.col("here")))
     moves = saved(movers.select("g", "s", "aim", moved.cast("long").alias("m")).filter("m > 0"), "moves")
     change = moves.select("g", "s", (-F.col("m")).alias("n")).unionByName(moves.select("g", F.col("aim").alias("s"), F.col("m").alias("n")))
-    return saved(cells.unionByName(change).groupBy("g", "s").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
+    after = saved(cells.unionByName(change).groupBy("g", "s").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
+    discard(moving, flows, moves)
+    return after
 
 
 def propagate(cells: DataFrame, quota: list[int], buckets: int = 256) -> DataFrame:
@@ -116,6 +119,7 @@ def propagate(cells: DataFrame, quota: list[int], buckets: int = 256) -> DataFra
         after = _round(cells, quota, number, calm % 2 == 1, buckets)
         number += 1
         if after is not None and (now := after.count()) < n:
+            discard(cells)
             cells, n, calm = after, now, 0
         else:
             calm += 1
