@@ -14,14 +14,16 @@ remains. Equal chunks make candidates.
 Sets that are equal form a class and take part once. Equal chunks make a star
 from the least class, not all pairs: first within a task, so that a chunk that
 is everywhere costs one entry a task, then in the chunk's bucket. The stars'
-components are the candidate groups. A group is verified exactly with its sets'
-hashes: pairs whose parity sketches of ``SKETCH_BITS`` bits lie further apart
-than linked sets may are out, as the Hamming distance is a lower bound of the
-symmetric difference; the rest are counted, pair by pair or by products of
-blocks of the group's incidence matrix. A group of more than ``CHUNK`` classes
-is verified in pairs of hash parts of that size, each a group of its own, so no
-group must fit in one task. A part gives a spanning forest of its links and each
-class's number of links.
+components are the candidate groups. Passages that many documents share can make
+them large, so they are thinned first: every set has a parity sketch of about
+two bits a shingle (``SKETCH_BITS`` at most), a pair of sets whose sketches'
+Hamming distance exceeds the difference that linked sets may have is out, as the
+distance is a lower bound of the symmetric difference, and the components of the
+remaining pairs are the groups to verify, with the sets' hashes: pair by pair, or
+by products of blocks of the group's incidence matrix. Groups of more classes
+than ``THIN`` or ``CHUNK`` are thinned and verified in pairs of hash parts of
+that size, each a group of its own, so no group must fit in one task. A verified
+part gives a spanning forest of its links and each class's number of links.
 
 Documents without words have an empty set, no links, and their own component;
 null text likewise. Repeated rows are copies of each other. A null id belongs to
@@ -45,6 +47,7 @@ from ..operators.components import components
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
 CHUNK = 256
+THIN = 1024
 SKETCH_BITS = 4096
 #: Chunks that a task gathers before it reduces them to stars.
 POSTS = 1 << 20
@@ -177,15 +180,41 @@ def sparse_sketch(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, de
     return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
 
 
-def may_link(sets: list[np.ndarray], left: int, num: int, den: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Pairs whose parity sketches lie near enough, as a matrix: rows the first ``left`` sets (0: all), columns the others."""
-    g, size = len(sets), np.array([len(x) for x in sets], np.int64)
-    place = np.repeat(np.arange(g) * bits, size) + (mix(np.concatenate(sets) ^ np.uint64(0x3C79AC492BA7B653)) % np.uint64(bits)).astype(np.int64)
-    sketch = (np.bincount(place, minlength=g * bits) & 1).astype(np.float32).reshape(g, bits)
-    a, b = (slice(0, left), slice(left, g)) if left else (slice(0, g), slice(0, g))
-    ones = sketch.sum(axis=1)
-    distance = ones[a][:, None] + ones[b][None, :] - 2 * (sketch[a] @ sketch[b].T)
-    return distance * (den + num) <= (den - num) * (size[a][:, None] + size[b][None, :])
+def parity_sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bits: int = SKETCH_BITS) -> pa.Array:
+    """A row's sketch: bit ``b`` is the parity of its shingles that hash to ``b``; twice as many bits as shingles, a power of two."""
+    wide = np.minimum(bits, np.exp2(np.ceil(np.log2(np.maximum(2 * size, 128)))).astype(np.int64))
+    ends = np.r_[0, np.cumsum(wide)]
+    place = ends[row] + (mix(h ^ np.uint64(0x3C79AC492BA7B653)) % wide[row].astype(np.uint64)).astype(np.int64)
+    data = np.packbits((np.bincount(place, minlength=int(ends[-1])) & 1).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((ends // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def near_pairs(size: np.ndarray, sketches: list, left: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``(i, j)`` of sets that may be linked by size and by their sketches' distance; ``left`` as in ``links_of``.
+
+    Of sketches of two widths the wider is folded: the parities of the places
+    that agree modulo the narrower width are added up.
+    """
+    width = np.array([8 * len(x) for x in sketches])
+    out = []
+    for bits in np.unique(width).tolist():
+        most = int(size[width == bits].max())
+        use = np.flatnonzero((width >= bits) & (size * num <= most * den))
+        m = np.empty((len(use), bits), np.float32)
+        for k, i in enumerate(use.tolist()):
+            x = np.unpackbits(np.frombuffer(sketches[i], np.uint8)).reshape(-1, bits)
+            m[k] = x[0] if len(x) == 1 else np.bitwise_xor.reduce(x, axis=0)
+        cut = int((use < left).sum()) if left else len(use)
+        a, b = (slice(0, cut), slice(cut, None)) if left else (slice(None), slice(None))
+        ones, n, w = m.sum(axis=1), size[use], width[use]
+        distance = ones[a][:, None] + ones[b][None, :] - 2 * (m[a] @ m[b].T)
+        ok = distance * (den + num) <= (den - num) * (n[a][:, None] + n[b][None, :])
+        ok &= np.minimum(w[a][:, None], w[b][None, :]) == bits
+        ok &= np.minimum(n[a][:, None], n[b][None, :]) * den >= np.maximum(n[a][:, None], n[b][None, :]) * num
+        i, j = np.nonzero(ok)
+        i, j = use[a][i], use[b][j]
+        out.append((i, j) if left else (i[i < j], j[i < j]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
 
 
 def links_of(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +224,8 @@ def links_of(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.
     if g == 2:
         i, j = np.array([0]), np.array([1])
     else:
-        i, j = np.nonzero(may_link(sets, left, num, den))
-        i, j = (i, j + left) if left else (i[i < j], j[i < j])
+        row = np.repeat(np.arange(g), size)
+        i, j = near_pairs(size, [x.as_buffer() for x in parity_sketches(row, np.concatenate(sets), size)], left, num, den)
     if len(i) <= 2 * g:
         both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], np.int64)
         ok = den * both >= num * (size[i] + size[j] - both)
@@ -273,7 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             to = s[by][np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))]
             edge = to != s[by]
             first = np.sort(by[lead])  # in the order of sets, which compresses better
-            out = deal(((key[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), 0, 0, key[first], s[first])
+            k = key[first]  # 48 bits besides the bucket: a chance hit costs only work
+            out = deal((mix(k) % np.uint64(buckets)).astype(np.int32), 0, 0, (k >> np.uint64(32)).astype(np.uint32), (k >> np.uint64(16)).astype(np.uint16), s[first])
             pairs = np.unique(np.stack([to[edge], s[by][edge]]), axis=1) if edge.any() else np.zeros((2, 0), np.int64)
             out += deal((mix(pairs[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), 0, 1, pairs[0], pairs[1])
             return messages(out).to_batches()
@@ -299,7 +329,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @released
     def meet(t: pa.Table) -> pa.Table:
-        (key, c), _ = gather(t, 0, np.uint64, np.int64)
+        (high, low, c), _ = gather(t, 0, np.uint32, np.uint16, np.int64)
+        key = (high.astype(np.uint64) << np.uint64(16)) | low
         by = np.lexsort((c, key))
         key, c = key[by], c[by]
         again = same_as_previous(key)
@@ -316,14 +347,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Written, as ``least`` below, so that the joins can split a hot group. Sets that agree in 64 bits only are candidates more.
     members = saved(groups.join(classes, groups["v"] == classes["s1"]).select("root", "c", "s1", "s2", "rep", "copies", "n"), "members")
-    sizes = saved(members.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("weight")), "sizes")
-    parts = F.ceil(F.greatest(F.col("g") / chunk, F.col("weight") / (chunk * 4096))).cast("int")
-    members = saved(members.join(sizes, "root").withColumn("parts", parts).drop("g", "weight"), "members")
-    weight = members.agg(F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0))).first()[0]
-    tasks = max(shuffle_partitions(spark), weight * 8 // (8 << 20))
-
-    wanted = members.select("rep", "c", "s1", "s2", "root", "parts", "copies")
-    chosen = texts.join(wanted, texts["ord"] == wanted["rep"]).select("c", "s1", "s2", "root", "parts", "copies", "text")
+    wanted = members.select("rep", "c", "s1", "s2", "root", "copies", "n")
+    chosen = texts.join(wanted, texts["ord"] == wanted["rep"]).select("c", "s1", "s2", "root", "copies", "text")
 
     @released
     def sets(batches):
@@ -333,29 +358,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             good = (np.asarray(t.column("s1"), np.int64) == s1) & (np.asarray(t.column("s2"), np.int64) == s2)  # rows that repeat an id may hold another text
             ends = np.r_[0, np.cumsum(size)].astype(np.int32) * 8
             data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(h)])
-            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("c", "root", "parts", "copies")), data], names=["c", "root", "parts", "copies", "data"]).filter(pa.array(good))
-
-    prepared = chosen.mapInArrow(sets, "c long, root long, parts int, copies long, data binary")
-    own = F.pmod(F.xxhash64("c", F.lit(3)), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    dealt = prepared.select("c", "root", "copies", own.alias("part"), F.explode(pairs).alias("p"), "data")
-    dealt = dealt.select("c", "root", "copies", "part", "p.i", "p.j", "data", F.pmod(F.xxhash64("root", "p.i", "p.j"), F.lit(int(tasks))).alias("task"))
-
-    @released
-    def verify(t: pa.Table) -> pa.Table:
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("c", "root", "copies")), pa.array(size, pa.int64()), parity_sketches(row, h, size), data], names=["c", "root", "copies", "n", "sketch", "data"]).filter(pa.array(good))
+
+    prepared = saved(chosen.mapInArrow(sets, "c long, root long, copies long, n long, sketch binary, data binary"), "shingles")
+
+    def dealt(rows: DataFrame, parts, payload: int) -> DataFrame:
+        """Each group's pairs of parts, and the task that works on each; ``payload``: bytes that all rows send once."""
+        sizes = saved(rows.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("weight")), "sizes")
+        d = rows.join(sizes, "root").withColumn("parts", F.ceil(parts).cast("int")).drop("g", "weight")
+        own = F.pmod(F.xxhash64("c", F.lit(3)), F.col("parts")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
+        d = d.withColumn("part", own).withColumn("p", F.explode(pairs)).drop("parts")
+        tasks = max(shuffle_partitions(spark), payload // (8 << 20))
+        return d.withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p").withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(int(tasks))))
+
+    def blocks_of(t: pa.Table):
+        """Places of each pair of parts in a task, each class once, by class, and how many of them are of the first part (0: there is one only)."""
         key = np.stack([np.asarray(t.column(x), np.int64) for x in ("c", "part", "j", "i", "root")])
-        copies, data = np.asarray(t.column("copies"), np.int64), t.column("data")
         by = np.lexsort(key)
         root, i, j = key[4][by], key[3][by], key[2][by]
         cuts = np.flatnonzero(np.r_[~same_as_previous(root, i, j), True])
-        a, b, deg = [], [], []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             at = by[lo:hi]
             at = at[np.r_[True, key[0][at][1:] != key[0][at][:-1]]]
-            left = int((key[1][at] == key[3][at]).sum()) if key[3][at[0]] != key[2][at[0]] else 0
-            if len(at) < 2 or left == len(at) or (key[3][at[0]] != key[2][at[0]] and not left):
-                continue
-            c = key[0][at]
+            at = at[np.argsort(key[1][at], kind="stable")]
+            two = key[3][at[0]] != key[2][at[0]]
+            left = int((key[1][at] == key[3][at]).sum()) if two else 0
+            if len(at) > 1 and not (two and left in (0, len(at))):
+                yield at, left
+
+    def pair_table(a: list, b: list, links: list) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], names=["a", "b", "links"])
+
+    @released
+    def thin(t: pa.Table) -> pa.Table:
+        c, n, sketch = np.asarray(t.column("c"), np.int64), np.asarray(t.column("n"), np.int64), t.column("sketch")
+        a, b = [], []
+        for at, left in blocks_of(t):
+            i, j = near_pairs(n[at], [sketch[int(r)].as_buffer() for r in at], left, num, den)
+            for p, q in forest(len(at), i, j):
+                a.append(int(c[at[p]]))
+                b.append(int(c[at[q]]))
+        return pair_table(a, b, [0] * len(a))
+
+    total, weight = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    near = dealt(prepared.drop("data", "copies"), F.col("g") / THIN, total * 40 + weight // 4).groupBy("task").applyInArrow(thin, "a long, b long, links long")
+    near = components(near.select("a", "b"), "near").select(F.col("v").alias("c"), "root")
+    thinned = prepared.drop("root", "sketch").join(near, "c")
+
+    @released
+    def verify(t: pa.Table) -> pa.Table:
+        ids, copies, data = np.asarray(t.column("c"), np.int64), np.asarray(t.column("copies"), np.int64), t.column("data")
+        a, b, deg = [], [], []
+        for at, left in blocks_of(t):
+            c = ids[at]
             x, y = links_of([np.frombuffer(data[int(r)].as_buffer(), np.uint64) for r in at], left, num, den)
             links = np.bincount(x, copies[at][y], len(at)) + np.bincount(y, copies[at][x], len(at))
             some = np.flatnonzero(links)
@@ -366,9 +422,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 a.append(int(c[p]))
                 b.append(int(c[q]))
                 deg.append(0)
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(deg, pa.int64())], names=["a", "b", "links"])
+        return pair_table(a, b, deg)
 
-    verified = saved(dealt.groupBy("task").applyInArrow(verify, "a long, b long, links long"), "links")
+    work = dealt(thinned, F.greatest(F.col("g") / chunk, F.col("weight") / (chunk * 4096)), weight * 8)
+    verified = saved(work.groupBy("task").applyInArrow(verify, "a long, b long, links long"), "links")
     roots = components(verified.filter("b IS NOT NULL").select("a", "b"), "linked")
     degree = verified.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     labelled = classes.join(roots, classes["c"] == roots["v"], "left").join(degree, classes["c"] == degree["a"], "left")

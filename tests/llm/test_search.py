@@ -75,14 +75,30 @@ def test_join_tells_words_of_equal_polynomials(spark):
 
 
 def test_hamming_distance_bounds_the_difference():
+    """No pair that differs little enough is left out, whatever the sketches' widths; unlike pairs are."""
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (40, 50, 300)]
-    sets += [np.sort(np.r_[s[: len(s) - 2], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]) for s in sets]
-    near = parity_join.may_link(sets, 0, 90, 100)
-    assert all(near[i, i + 3] for i in range(3)) and not near[0, 2] and not near[0, 1]
-    for left in (0, 3):
-        i, j = parity_join.links_of(sets, left, 90, 100)
-        assert set(zip(i.tolist(), j.tolist())) == {(k, k + 3) for k in range(3)}
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (40, 60, 63, 300, 511, 3000)]
+    sets += [np.sort(np.r_[s[: len(s) - len(s) // 19], rng.integers(0, 1 << 63, len(s) // 19 + 2 * (len(s) in (63, 511)) , dtype=np.uint64)]) for s in sets]
+    size = np.array([len(s) for s in sets])
+    sketches = [x.as_buffer() for x in parity_join.parity_sketches(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), size)]
+    assert len({len(x) for x in sketches}) > 3
+    for left in (0, 6):
+        i, j = parity_join.near_pairs(size, sketches, left, 90, 100)
+        near = set(zip(i.tolist(), j.tolist()))
+        x, y = parity_join.links_of(sets, left, 90, 100)
+        exact = {(a, b) for a in range(12) for b in range(a + 1, 12) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))}
+        assert set(zip(x.tolist(), y.tolist())) == exact <= near and len(exact) > 3 and len(near) <= 8
+
+
+def test_thinning_in_parts(spark, monkeypatch):
+    """Documents that share a passage and little else, near copies among them, with parts of a few classes."""
+    monkeypatch.setattr(parity_join, "THIN", 7)
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(5, 60)))) for i in range(60)]
+    rows += [(100 + i, t + " one more") for i, t in rows[::3]] + [(200 + i, t) for i, t in rows[::5]]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_set(parity_join.near_duplicates(d, chunk=8)) == brute_components(rows)
 
 
 def test_join_edges(spark, empty):
