@@ -43,7 +43,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document: id, n_words, n_removed, n_spans (runs of removed words), kept_sha256 of the kept words joined by spaces."""
     if length < 2 * anchor - 1:
         raise ValueError("a window must hold a whole reference block wherever it starts")
-    blocks, _ = as_blocks(docs, id_col, text_col)
+    blocks, _ = as_blocks(docs, id_col, text_col, together=False)
     buckets = bucket_count(docs, 1.0)
 
     @released

@@ -23,13 +23,17 @@ _ARROW = pa.schema([("dst", pa.int32()), ("src", pa.int32()), ("kind", pa.int32(
 BUCKET_BYTES = 16 << 20
 
 
-def as_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``(blk, ord, id, text)``: ``ord`` is the id, or for null ids a number behind all usual ids that depends on the text."""
+def as_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, together: bool = True) -> tuple[DataFrame, int]:
+    """``(blk, ord, id, text)``: ``ord`` is the id, or for null ids a number behind all usual ids that depends on the text.
+
+    Rows that share an id lie in one block, unless they needn't be ``together``: then only equal rows do.
+    """
     n = block_count(docs, block_bytes)
     late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2)
     order = F.coalesce(F.col(id_col).cast("long"), late)
     d = docs.select(order.alias("ord"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.select(F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int").alias("blk"), "ord", "id", "text"), n
+    by = ["ord"] if together else ["ord", "text"]
+    return d.select(F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias("blk"), "ord", "id", "text"), n
 
 
 def bucket_count(docs: DataFrame, bytes_per_text_byte: float) -> int:

@@ -88,8 +88,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
 def release() -> None:
     """Gives freed memory back to the system: Python workers live on from task to task, and beside the JVM."""
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def released(f):
