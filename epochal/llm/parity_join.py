@@ -47,10 +47,10 @@ from ..operators.components import components
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
 CHUNK = 256
-THIN = 1024
+THIN = 512
 SKETCH_BITS = 4096
 #: Chunks that a task gathers before it reduces them to stars.
-POSTS = 1 << 20
+POSTS = 1 << 19
 _SEQUENCE = Hashes(0xE7037ED1A0B428DB)
 
 
@@ -368,9 +368,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         d = rows.join(sizes, "root").withColumn("parts", F.ceil(parts).cast("int")).drop("g", "weight")
         own = F.pmod(F.xxhash64("c", F.lit(3)), F.col("parts")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-        d = d.withColumn("part", own).withColumn("p", F.explode(pairs)).drop("parts")
+        d = d.withColumn("part", own).withColumn("p", F.explode(pairs)).withColumns({"i": F.col("p.i").cast("long"), "j": F.col("p.j").cast("long")})
         tasks = max(shuffle_partitions(spark), payload // (8 << 20))
-        return d.withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p").withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(int(tasks))))
+        # A group's pairs of parts are numbered, so that they go to different tasks.
+        number = F.col("i") * F.col("parts") - F.floor(F.col("i") * (F.col("i") - 1) / 2) + F.col("j") - F.col("i")
+        return d.withColumn("task", F.pmod(F.xxhash64("root") + number, F.lit(int(tasks)))).drop("p", "parts")
 
     def blocks_of(t: pa.Table):
         """Places of each pair of parts in a task, each class once, by class, and how many of them are of the first part (0: there is one only)."""
