@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tasks = max(shuffle_partitions(spark), payload // (8 << 20))
         # A group's pairs of parts are numbered, so that they go to different tasks.
         number = F.col("i") * F.col("parts") - F.floor(F.col("i") * (F.col("i") - 1) / 2) + F.col("j") - F.col("i")
-        return d.withColumn("task", F.pmod(F.xxhash64("root") + number, F.lit(int(tasks)))).drop("p", "parts")
+        return d.withColumn("task", F.pmod(F.pmod(F.xxhash64("root"), F.lit(int(tasks))) + number, F.lit(int(tasks)))).drop("p", "parts")
 
     def blocks_of(t: pa.Table):
         """Places of each pair of parts in a task, each class once, by class, and how many of them are of the first part (0: there is one only)."""
