@@ -29,19 +29,25 @@ def sequencer_ids(workers: DataFrame) -> DataFrame:
 PLACE_ROWS = 1 << 20
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column | str], rows: int = PLACE_ROWS) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column | str], rows: int = PLACE_ROWS, offsets: bool = False) -> DataFrame:
     """Adds the sums (name: value) over a key's rows before each row in ``order``, whose first column is a number.
 
     The first column's range is cut into buckets of about ``rows`` rows; rows are
     summed up in their bucket and shifted by the prefix sums of the buckets'
-    totals, so that no task sorts all rows of a hot key.
+    totals, so that no task sorts all rows of a hot key. ``offsets``: the first
+    column counts up without large gaps, as a log's offsets do; then each bucket
+    holds ``rows`` numbers, and its range need not be looked up.
     """
     first = F.col(order[0]).try_cast("double")
-    stats = df.agg(F.min(first).alias("__lo"), F.max(first).alias("__hi"), F.count("*").alias("__n"))
     values = {f"__v{i}": F.col(v) if isinstance(v, str) else v for i, v in enumerate(sums.values())}
-    d = df.withColumns(values).crossJoin(F.broadcast(stats))  # one row of three numbers
-    bucket = F.floor((first - F.col("__lo")) * F.ceil(F.col("__n") / rows) / (F.col("__hi") - F.col("__lo") + 1))
-    d = d.withColumn("__b", F.coalesce(bucket, F.lit(-1)).cast("long")).drop("__lo", "__hi", "__n")
+    d = df.withColumns(values)
+    if offsets:
+        bucket = F.floor(first / rows)
+    else:
+        stats = df.agg(F.min(first).alias("__lo"), F.max(first).alias("__hi"), F.count("*").alias("__n"))
+        d = d.crossJoin(F.broadcast(stats))  # one row of three numbers
+        bucket = F.floor((first - F.col("__lo")) * F.ceil(F.col("__n") / rows) / (F.col("__hi") - F.col("__lo") + 1))
+    d = d.withColumn("__b", F.coalesce(bucket, F.lit(-(1 << 60))).cast("long")).drop("__lo", "__hi", "__n")
     totals = d.groupBy(*keys, "__b").agg(*[F.sum(v).alias(v) for v in values])
     upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0))
@@ -50,14 +56,14 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     return d.select(*df.columns, *[(F.col(v) + F.col(f"{v}_")).alias(name) for name, v in zip(sums, values)])
 
 
-def place(df: DataFrame, keys: list[str], order: list[str], out: str, rows: int = PLACE_ROWS) -> DataFrame:
+def place(df: DataFrame, keys: list[str], order: list[str], out: str, rows: int = PLACE_ROWS, offsets: bool = False) -> DataFrame:
     """Adds ``out``: a row's place, from 0, among its key's rows in ``order``."""
-    return running(df, keys, order, {out: F.lit(1).cast("long")}, rows)
+    return running(df, keys, order, {out: F.lit(1).cast("long")}, rows, offsets)
 
 
 def sequence(requests: DataFrame, worker: str, order: list[str], n_workers: int, epoch_size: int) -> DataFrame:
     """Adds ``t_id = sid + i * n_workers`` and ``epoch = i div epoch_size``, with ``i`` the place in the worker's log."""
-    d = place(requests, [worker], order, "__i")
+    d = place(requests, [worker], order, "__i", offsets=True)
     return d.withColumns({"t_id": F.col(worker) + 1 + F.col("__i") * n_workers, "epoch": F.floor(F.col("__i") / epoch_size)}).drop("__i")
 
 

@@ -60,7 +60,9 @@ def test_checkouts_and_reservations_equal_serial_folds(spark):
 def test_places_over_many_buckets(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(3), rng.randrange(50), i) for i in range(200)] + [(0, None, 500), (1, None, 501)]
-    got = tx.place(spark.createDataFrame(rows, "k int, x long, y int"), ["k"], ["x", "y"], "p", rows=7).collect()
+    d = spark.createDataFrame(rows, "k int, x long, y int")
+    got = tx.place(d, ["k"], ["x", "y"], "p", rows=7).collect()
+    assert sorted(map(str, got)) == sorted(map(str, tx.place(d, ["k"], ["x", "y"], "p", rows=7, offsets=True).collect()))
     for k in range(3):
         mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
         assert {(r.x, r.y): r.p for r in got if r.k == k} == {m[1:]: i for i, m in enumerate(mine)}
