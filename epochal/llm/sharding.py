@@ -114,8 +114,9 @@ def _round(cells: DataFrame, quota: list[int], number: int, free: bool, buckets:
 def propagate(cells: DataFrame, quota: list[int], buckets: int = 256) -> DataFrame:
     """Cells ``(g, s, n)`` after balanced label propagation: no shard above its quota, a group in few shards."""
     cells = saved(cells, "cells")
-    n, calm, number = cells.count(), 0, 0
-    while calm < PATIENCE:
+    n, groups = cells.agg(F.count("*"), F.countDistinct("g")).first()
+    calm = number = 0
+    while n > groups and calm < PATIENCE:
         after = _round(cells, quota, number, calm % 2 == 1, buckets)
         number += 1
         if after is not None and (now := after.count()) < n:
