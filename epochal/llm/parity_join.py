@@ -23,7 +23,7 @@ remaining pairs are the groups to verify, with the sets' hashes: pair by pair, o
 by products of blocks of the group's incidence matrix. Groups of more classes
 than ``THIN`` or ``CHUNK`` are thinned and verified in pairs of hash parts of
 that size, each a group of its own, so no group must fit in one task. A verified
-part gives a spanning forest of its links and each class's number of links.
+part gives its components as stars and each class's number of links.
 
 Documents without words have an empty set, no links, and their own component;
 null text likewise. Repeated rows are copies of each other. A null id belongs to
@@ -253,9 +253,12 @@ def links_of(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.
     return i[ok], j[ok]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """The links that join trees, in their order."""
-    root = list(range(n))
+def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
+    """The components of pairs of places ``(i, j)`` as links: each component's least id and every other one."""
+    root = list(range(len(ids)))  # by rank of the ids, so that a root is a least id
+    by = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[by] = np.arange(len(ids))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -263,15 +266,17 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
-    for a, b in zip(i.tolist(), j.tolist()):
+    left = len(ids) - 1
+    for a, b in zip(rank[i].tolist(), rank[j].tolist()):
         x, y = find(a), find(b)
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((a, b))
-            if len(out) == n - 1:
+            left -= 1
+            if not left:
                 break
-    return out
+    ordered = ids[by].tolist()
+    links = [(ordered[find(x)], ordered[x]) for x in range(len(ids)) if root[x] != x]
+    return [a for a, _ in links], [b for _, b in links]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUMERATOR, den: int = DENOMINATOR, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
@@ -398,9 +403,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         a, b = [], []
         for at, left in blocks_of(t):
             i, j = near_pairs(n[at], [sketch[int(r)].as_buffer() for r in at], left, num, den)
-            for p, q in forest(len(at), i, j):
-                a.append(int(c[at[p]]))
-                b.append(int(c[at[q]]))
+            x, y = stars(c[at], i, j)
+            a += x
+            b += y
         return pair_table(a, b, [0] * len(a))
 
     total, weight = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -420,10 +425,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             a += c[some].tolist()
             b += [None] * len(some)
             deg += links[some].astype(np.int64).tolist()
-            for p, q in forest(len(at), x, y):
-                a.append(int(c[p]))
-                b.append(int(c[q]))
-                deg.append(0)
+            p, q = stars(c, x, y)
+            a += p
+            b += q
+            deg += [0] * len(p)
         return pair_table(a, b, deg)
 
     work = dealt(thinned, F.greatest(F.col("g") / chunk, F.col("weight") / (chunk * 4096)), weight * 8)
