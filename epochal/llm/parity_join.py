@@ -15,12 +15,12 @@ Sets that are equal form a class and take part once. Equal chunks make a star
 from the least class, not all pairs: first within a task, so that a chunk that
 is everywhere costs one entry a task, then in the chunk's bucket. The stars'
 components are the candidate groups. Passages that many documents share can make
-them large, so they are thinned first: every set has a parity sketch of about
+them large, so they are thinned before any text is moved: every set has a parity sketch of about
 two bits a shingle (``SKETCH_BITS`` at most), a pair of sets whose sketches'
 Hamming distance exceeds the difference that linked sets may have is out, as the
 distance is a lower bound of the symmetric difference, and the components of the
-remaining pairs are the groups to verify, with the sets' hashes: pair by pair, or
-by products of blocks of the group's incidence matrix. Groups of more classes
+remaining pairs are the groups to verify, with the sets' hashes, from texts that a
+filter of bits picks out before they are joined: pair by pair, or by products of blocks of the group's incidence matrix. Groups of more classes
 than ``THIN`` or ``CHUNK`` are thinned and verified in pairs of hash parts of
 that size, each a group of its own, so no group must fit in one task. A verified
 part gives its components as stars and each class's number of links.
@@ -40,15 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import MESSAGE, bucket_count, deal, gather, messages, same_as_previous
-from .common import Hashes, mix, released, saved, shuffle_partitions, slices
+from .common import Hashes, discard, mix, released, saved, shuffle_partitions, slices
 from .words import Words
 from ..operators.components import components
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
 CHUNK = 256
-THIN = 512
+THIN = 2048
+#: Classes on each side of one product of sketches.
+SQUARE = 512
 SKETCH_BITS = 4096
+#: Differences a spare group of ``sparse_sketch``.
+SPARE = 8
 #: Chunks that a task gathers before it reduces them to stars.
 POSTS = 1 << 19
 _SEQUENCE = Hashes(0xE7037ED1A0B428DB)
@@ -132,14 +136,19 @@ def sketch(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int)
 
 
 def sparse_sketch(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``sketch``, for similarities below 0.9, where chunks hold few shingles.
+    """As ``sketch``, for similarities below 0.9, where plain chunks would hold few shingles.
 
     A band meets itself and each band that its sets can be linked with on their
-    own, with that pair's ``d``. ``s`` is half of ``d`` (2 at least), and a set
-    leaves out its smallest chunks: those of fewer shingles than its chunk of
-    rank ``s + 1``, so ``s`` at most. Of two sets, the one that leaves out
-    larger chunks leaves out every equal chunk that the other does, so of
-    ``s + 1`` equal chunks one remains in both.
+    own, with that pair's ``d``. Shingles are dealt to ``g = d // 2 + 1 + t`` groups
+    of three pieces, and a chunk is two pieces of a group, so it holds twice the
+    shingles of one of ``d + 1`` chunks. With ``x`` groups of two differences or
+    more and ``y`` of one, which keep no and one equal chunk, ``3g - 3x - 2y`` of
+    the ``3g`` chunks are equal, and that is ``2g - d`` at least, as ``2x + y <=
+    d`` and ``x + y <= g``; ``s`` is that less one. A set leaves out its smallest
+    chunks: those of fewer shingles than its chunk of rank ``s + 1``, so ``s`` at
+    most. Of two sets, the one that leaves out larger chunks leaves out every
+    equal chunk that the other does, so of ``s + 1`` equal chunks one remains in
+    both.
     """
     if not len(row):
         return np.zeros(0, np.int32), np.zeros(0, np.uint64)
@@ -150,26 +159,29 @@ def sparse_sketch(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, de
     bits, deal_by = mix(h ^ np.uint64(0x632BE59BD9B4E019)), mix(h ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(33)
     rows, keys = [], []
     widest = int((reach - np.arange(len(reach)))[: int(band.max()) + 1].max())
-    for low, gap in [(band - back, g) for g in range(widest + 1) for back in ({0, g})]:
+    for low, gap in [(band - back, x) for x in range(widest + 1) for back in ({0, x})]:
         real = (size > 0) & (low >= 0)
         lo = np.where(real, low, 0)
         hi = lo + gap
         real &= hi <= reach[lo]
         d = (last[lo] + np.minimum(last[np.minimum(hi, len(last) - 1)], last[lo] * den // num)) * (den - num) // (den + num)
         real &= d > 0  # else only equal sets are linked
-        s = np.maximum(2, -(-d // 2))
-        k = np.where(real, d + 1 + s, 0)
+        g = d // 2 + 1 - (-d // SPARE)
+        s = 2 * g - d - 1
+        k = np.where(real, 3 * g, 0)
         base = np.cumsum(k) - k
+        total = int(k.sum())
+        if not total:
+            continue
         use = real[row]
         slot = base[row[use]] + (deal_by[use] % np.maximum(k[row[use]], 1).astype(np.uint64)).astype(np.int64)
         by = np.argsort(slot, kind="stable")
         ordered = slot[by]
         heads = np.flatnonzero(~same_as_previous(ordered))
-        total = int(k.sum())
-        if not total:
-            continue
-        chunk, count = np.zeros(total, np.uint64), np.bincount(slot, minlength=total)
-        chunk[ordered[heads]] = np.bitwise_xor.reduceat(bits[use][by], heads)
+        piece, count = np.zeros(total, np.uint64), np.bincount(slot, minlength=total)
+        piece[ordered[heads]] = np.bitwise_xor.reduceat(bits[use][by], heads)
+        two = lambda x, f: f(x.reshape(-1, 3), np.roll(x.reshape(-1, 3), -1, axis=1)).ravel()
+        chunk, count = two(piece, np.bitwise_xor), two(count, np.add)
         of = np.repeat(np.arange(len(k)), k)
         ranked = count[np.lexsort((count, of))]
         least = ranked[np.minimum(base + s, total - 1)]
@@ -217,6 +229,25 @@ def near_pairs(size: np.ndarray, sketches: list, left: int, num: int, den: int)
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
 
 
+def united(ids: np.ndarray, links: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int]]:
+    """The links of ``stars`` over all of ``links`` among ``ids``."""
+    by = np.argsort(ids, kind="stable")
+    i, j = (by[np.searchsorted(ids, np.array([v for x in links for v in x[k]], np.int64), sorter=by)] for k in (0, 1))
+    return stars(ids, i, j)
+
+
+def squares(g: int, left: int, side: int = SQUARE):
+    """The pairs of ``near_pairs`` in blocks of ``side`` places: the places of a block's two sides, and how many are of its first (0: there is one only)."""
+    blocks = lambda lo, hi: [np.arange(x, min(x + side, hi)) for x in range(lo, hi, side)]
+    if left:
+        yield from ((np.r_[a, b], len(a)) for a in blocks(0, left) for b in blocks(left, g))
+        return
+    every = blocks(0, g)
+    for k, a in enumerate(every):
+        yield a, 0
+        yield from ((np.r_[a, b], len(a)) for b in every[k + 1 :])
+
+
 def links_of(sets: list[np.ndarray], left: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs ``(i, j)`` among sets: all pairs if ``left`` is 0, else the first ``left`` against the others."""
     size = np.array([len(x) for x in sets], np.int64)
@@ -279,6 +310,31 @@ def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[int], lis
     return [a for a, _ in links], [b for _, b in links]
 
 
+def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose number in ``column`` is among ``ids`` (one column), and one in seventy of the others.
+
+    To be joined with the ids, so that few texts are moved. The ids are told by
+    two of 16 to 32 bits an id, in a table of 32 MB at most; with more than 16
+    million ids, more other rows remain.
+    """
+    places = lambda c, bits: F.array(*[F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits)) for seed in (5, 6)])
+    bits = 1 << min(28, max(10, (16 * ids.count()).bit_length()))
+    p = ids.select(F.explode(places(F.col(ids.columns[0]), bits)).alias("p"))
+    marks = p.groupBy(F.shiftright("p", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 AS int))")).alias("mark")).toArrow()
+    table = np.zeros(bits >> 5, np.uint32)
+    table[np.asarray(marks.column("word"))] = np.asarray(marks.column("mark"), np.int64).astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @released
+    def pick(batches):
+        for b in batches:
+            at = np.asarray(b.column(b.num_columns - 1).flatten(), np.int64).reshape(-1, 2)
+            found = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
+            yield from pa.Table.from_batches([b]).filter(pa.array(found.all(axis=1))).drop_columns([b.schema.names[-1]]).to_batches()
+
+    return rows.withColumn("__places", places(F.col(column), bits)).mapInArrow(pick, rows.schema)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUMERATOR, den: int = DENOMINATOR, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """Per document: id, n_shingles, component_id (least id reachable by links), n_links."""
     spark = docs.sparkSession
@@ -293,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for t in (x for b in batches for x in slices(b, "text")):
             row, h, size = shingle_sets(t.column("text"), shingle)
             s1, s2 = signatures(row, h, size)
-            yield pa.RecordBatch.from_arrays([t.column("ord"), t.column("id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=["ord", "id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([t.column("ord"), t.column("id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), parity_sketches(row, h, size)], names=["ord", "id", "n", "s1", "s2", "sketch"])
 
     @released
     def post(batches):
@@ -345,15 +401,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = np.unique(np.stack([np.r_[c[lead][edge], a], np.r_[c[edge], b]]), axis=1)
         return pa.Table.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
-    described = saved(texts.mapInArrow(describe, f"ord long, id {kind}, n long, s1 long, s2 long"), "sets")
+    described = saved(texts.mapInArrow(describe, f"ord long, id {kind}, n long, s1 long, s2 long, sketch binary"), "sets")
     classes = described.filter("n > 0").groupBy("s1", "s2").agg(F.min("ord").alias("rep"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
     classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     groups = components(texts.select("text").mapInArrow(post, MESSAGE).groupBy("dst").applyInArrow(meet, "a long, b long"), "candidates")
 
     # Written, as ``least`` below, so that the joins can split a hot group. Sets that agree in 64 bits only are candidates more.
     members = saved(groups.join(classes, groups["v"] == classes["s1"]).select("root", "c", "s1", "s2", "rep", "copies", "n"), "members")
-    wanted = members.select("rep", "c", "s1", "s2", "root", "copies", "n")
-    chosen = texts.join(wanted, texts["ord"] == wanted["rep"]).select("c", "s1", "s2", "root", "copies", "text")
+    discard(groups)
+    first = members.select(F.col("rep").alias("ord"), "s1", "s2", "c", "root")
+    sketches = saved(described.filter("n > 0").select("ord", "s1", "s2", "n", "sketch").join(first, ["ord", "s1", "s2"]).select("c", "root", "n", "sketch"), "sketches")
 
     @released
     def sets(batches):
@@ -363,9 +420,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             good = (np.asarray(t.column("s1"), np.int64) == s1) & (np.asarray(t.column("s2"), np.int64) == s2)  # rows that repeat an id may hold another text
             ends = np.r_[0, np.cumsum(size)].astype(np.int32) * 8
             data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(h)])
-            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("c", "root", "copies")), pa.array(size, pa.int64()), parity_sketches(row, h, size), data], names=["c", "root", "copies", "n", "sketch", "data"]).filter(pa.array(good))
-
-    prepared = saved(chosen.mapInArrow(sets, "c long, root long, copies long, n long, sketch binary, data binary"), "shingles")
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("c", "root", "copies")), pa.array(size, pa.int64()), data], names=["c", "root", "copies", "n", "data"]).filter(pa.array(good))
 
     def dealt(rows: DataFrame, parts, payload: int) -> DataFrame:
         """Each group's pairs of parts, and the task that works on each; ``payload``: bytes that all rows send once."""
@@ -402,16 +457,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         c, n, sketch = np.asarray(t.column("c"), np.int64), np.asarray(t.column("n"), np.int64), t.column("sketch")
         a, b = [], []
         for at, left in blocks_of(t):
-            i, j = near_pairs(n[at], [sketch[int(r)].as_buffer() for r in at], left, num, den)
-            x, y = stars(c[at], i, j)
-            a += x
-            b += y
+            links = []
+            for part, first in squares(len(at), left):
+                some = at[part]
+                links.append(stars(c[some], *near_pairs(n[some], [sketch[int(r)].as_buffer() for r in some], first, num, den)))
+            links = links[0] if len(links) == 1 else united(c[at], links)
+            a += links[0]
+            b += links[1]
         return pair_table(a, b, [0] * len(a))
 
     total, weight = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    near = dealt(prepared.drop("data", "copies"), F.col("g") / THIN, total * 40 + weight // 4).groupBy("task").applyInArrow(thin, "a long, b long, links long")
-    near = components(near.select("a", "b"), "near").select(F.col("v").alias("c"), "root")
-    thinned = prepared.drop("root", "sketch").join(near, "c")
+    near = dealt(sketches, F.col("g") / THIN, total * 40 + weight // 4).groupBy("task").applyInArrow(thin, "a long, b long, links long")
+    near = components(near.select("a", "b"), "near")
+    wanted = saved(near.withColumnRenamed("v", "c").join(members.drop("root", "n"), "c"), "wanted")
+    discard(near, members, sketches)
+    chosen = among(texts.select("ord", "text"), "ord", wanted.select("rep")).join(wanted, F.col("ord") == F.col("rep")).select("c", "s1", "s2", "root", "copies", "text")
+    prepared = saved(chosen.mapInArrow(sets, "c long, root long, copies long, n long, data binary"), "shingles")
 
     @released
     def verify(t: pa.Table) -> pa.Table:
@@ -431,8 +492,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             deg += [0] * len(p)
         return pair_table(a, b, deg)
 
-    work = dealt(thinned, F.greatest(F.col("g") / chunk, F.col("weight") / (chunk * 4096)), weight * 8)
+    weight = prepared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    work = dealt(prepared, F.greatest(F.col("g") / chunk, F.col("weight") / (chunk * 4096)), weight * 8)
     verified = saved(work.groupBy("task").applyInArrow(verify, "a long, b long, links long"), "links")
+    discard(prepared, wanted)
     roots = components(verified.filter("b IS NOT NULL").select("a", "b"), "linked")
     degree = verified.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     labelled = classes.join(roots, classes["c"] == roots["v"], "left").join(degree, classes["c"] == degree["a"], "left")

@@ -32,7 +32,8 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
     """``(v, root)`` for every vertex of ``links (a, b)``: the least vertex reachable.
 
     Each round is a written table; the tables of the round before are deleted.
-    Rounds grow with the square of the logarithm of the vertices at most.
+    Rounds grow with the square of the logarithm of the vertices at most. The
+    result reads the last table, which the caller may discard.
     """
     e = saved(links.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     while not _is_forest_of_stars(e):
@@ -43,4 +44,6 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
             before += [least, e]
         discard(*before[:-1])
     roots = e.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()
-    return e.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(roots)
+    out = e.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(roots)
+    out._saved = e._saved
+    return out

@@ -86,3 +86,43 @@ def test_sparse_sketches_of_linked_sets_meet():
             assert all(of[i] & of[i + 1] for i in linked if len(set(sets[i]) ^ set(sets[i + 1])))
             assert (of[-1] and len(of[-1]) < 2000)
     assert meets["sparse_sketch"] < meets["sketch"]
+
+
+def test_sparse_sketches_of_sets_with_a_common_passage_rarely_meet():
+    """A sixth of the shingles in common is no candidate, else a corpus' common passages make one large group."""
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 1 << 63, 34, dtype=np.uint64)
+    sets = [np.sort(np.r_[common, rng.integers(0, 1 << 63, 166, dtype=np.uint64)]) for _ in range(100)]
+    r, key = parity_join.sparse_sketch(np.repeat(np.arange(100), 200).astype(np.int32), np.concatenate(sets), np.full(100, 200), 80, 100)
+    of = [set(key[r == i]) for i in range(100)]
+    assert sum(bool(of[i] & of[j]) for i in range(100) for j in range(i)) < 400  # of 4950 pairs
+
+
+def test_sparse_sketches_of_every_spread_of_differences_meet():
+    """Sets that differ in as many shingles as 0.8 allows, or fewer, dealt anyhow."""
+    rng = np.random.default_rng(9)
+    for n in (5, 6, 8, 9, 13, 18, 27, 40, 81):
+        for odd in {1, n // 8, n // 4} - {0}:
+            for _ in range(60):
+                x = rng.integers(0, 1 << 63, n + odd, dtype=np.uint64)
+                cut = int(rng.integers(0, odd + 1))
+                sets = [np.sort(x[: n + cut]), np.sort(np.r_[x[:n], x[n + cut :]])]
+                size = np.array([len(s) for s in sets])
+                r, key = parity_join.sparse_sketch(np.repeat([0, 1], size).astype(np.int32), np.concatenate(sets), size, 80, 100)
+                assert set(key[r == 0]) & set(key[r == 1])
+
+
+def test_texts_are_picked_by_bits_before_they_are_joined(spark):
+    rows = spark.range(3000).selectExpr("id AS ord", "CAST(id AS STRING) AS text")
+    got = {x.ord for x in parity_join.among(rows, "ord", spark.range(0, 3000, 30).toDF("v")).collect()}
+    assert set(range(0, 3000, 30)) <= got and len(got) < 400
+    assert parity_join.among(rows, "ord", spark.range(0).toDF("v")).collect() == []
+
+
+def test_squares_cover_every_pair_once():
+    for g, left in ((1, 0), (10, 0), (11, 4), (8, 3)):
+        pairs = []
+        for at, first in parity_join.squares(g, left, 3):
+            pairs += [tuple(sorted((int(a), int(b)))) for x, a in enumerate(at) for b in at[max(first, x + 1) :] if not first or x < first]
+        want = [(a, b) for b in range(g) for a in range(b) if not left or a < left <= b]
+        assert sorted(pairs) == sorted(want)
