@@ -72,7 +72,9 @@ def nearby(searches: DataFrame, hotels: DataFrame, km: float, n: int) -> DataFra
 
     Both sides are dealt to cells of latitude and longitude at least ``km`` high;
     a search meets the hotels of its own and the neighbouring cells: towards the
-    poles, where meridians lie closer, of as many as its radius spans.
+    poles, where meridians lie closer, of as many as its radius spans. Places are
+    compared, not rows: searches from one place are answered once, and of hotels
+    at one place only the ``n`` least can be among the nearest.
     """
     height = km / 111.0
     around = max(1, int(360 / height))
@@ -82,10 +84,15 @@ def nearby(searches: DataFrame, hotels: DataFrame, km: float, n: int) -> DataFra
     reach = F.when(ratio < 1, F.degrees(F.asin(ratio)) + 1e-9).otherwise(F.lit(180.0))
     lon = F.col("lon")
     columns = F.array_distinct(F.transform(F.sequence(column(lon - reach), column(lon + reach)), lambda c: F.pmod(c, F.lit(around))))
-    near = searches.withColumn("row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: row("lat") + i))).withColumn("column", F.explode(columns))
+    places = searches.select("lat", "lon").distinct()
+    near = places.withColumn("row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: row("lat") + i))).withColumn("column", F.explode(columns))
+    hotels = hotels.withColumn("rank", F.row_number().over(Window.partitionBy("h_lat", "h_lon").orderBy("hotel"))).filter(F.col("rank") <= n).drop("rank")
     pairs = near.join(hotels.withColumns({"row": row("h_lat"), "column": F.pmod(column(F.col("h_lon")), F.lit(around))}), ["row", "column"])
     pairs = pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("h_lat"), F.col("h_lon"))).filter(F.col("km") < km)
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("km", "hotel"))).filter(F.col("rank") <= n).select("request_id", "hotel", "rank", "km")
+    ranked = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("km", "hotel"))).filter(F.col("rank") <= n)
+    best = ranked(pairs, "lat", "lon").groupBy("lat", "lon").agg(F.collect_list(F.struct("hotel", "km")).alias("best"))
+    found = searches.join(best, ["lat", "lon"]).select("request_id", F.inline("best"))
+    return ranked(found, "request_id").select("request_id", "hotel", "rank", "km")  # again, as a request may repeat
 
 
 def admit(requests: DataFrame, key: str, order: str, capacity: str) -> DataFrame:

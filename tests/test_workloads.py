@@ -162,3 +162,34 @@ def test_auto_regression_against_normal_equations(spark):
             past.append(min(max(float(w @ [1.0, *past[-4:][::-1]]), 0.0), 1.5 * y.max()))
             assert got[name, step] == pytest.approx(past[-1], rel=1e-4, abs=1e-3)
     assert len(got) == 6 * len(series)
+
+
+def _joined_rows(plan):
+    """Rows out of the joins of an executed plan, all told."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _joined_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return _joined_rows(plan.plan())
+    rows = plan.metrics().get("numOutputRows")
+    own = rows.get().value() if "Join" in name and rows.isDefined() else 0
+    return own + sum(_joined_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_nearby_compares_places_not_rows(spark):
+    """Searches from one place and hotels at one place, repeated hotels and requests too, aren't all paired."""
+    searches = [(i, 30.0 + i % 3 / 50, 10.0) for i in range(600)] + [(0, 30.06, 10.0), (7, None, 10.0)]
+    hotels = [(i, 30.0 + i % 4 / 50, 10.01) for i in range(400)] + [(2, 30.04, 10.01), (2, 30.04, 10.01), (9, None, 10.0)]
+    got = wl.nearby(spark.createDataFrame(searches, "request_id long, lat double, lon double"), spark.createDataFrame(hotels, "hotel long, h_lat double, h_lon double"), 5.0, 3)
+    rows = got.collect()
+
+    def km(a, b):
+        x = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1, math.sqrt(x)))
+
+    want = Counter()
+    for r in {s[0] for s in searches}:
+        near = sorted((km(s, h), h[0]) for s in searches for h in hotels if s[0] == r and s[1] is not None and h[1] is not None and km(s, h) < 5)
+        want.update((r, h, i + 1) for i, (_, h) in enumerate(near[:3]))
+    assert Counter((r.request_id, r.hotel, r["rank"]) for r in rows) == want and want
+    assert _joined_rows(got._jdf.queryExecution().executedPlan()) < 5000  # of 240,000 pairs of rows
