@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,10 @@ from ..storage import discard, saved
 from .transactions import running
 
 
+#: Rows that ``settle`` folds in one task.
+FOLD = 1 << 18
+
+
 # --- accounts ------------------------------------------------------------------
 
 
@@ -107,21 +114,51 @@ def settle(demands: DataFrame, capacity: DataFrame) -> DataFrame:
     in rounds. A request is in when its demands fit even if all undecided ones
     before it get theirs, and out when one doesn't fit beside those that are in.
     Each round settles the least undecided request at least, and all that don't
-    hang on an undecided one; it is a written table. Running sums are dealt to
-    buckets, so a resource that all want needs no task of its own.
+    hang on an undecided one; it is a written table without what the rounds after
+    it needn't read: requests that are out, and resources that nobody waits for.
+    What lies before the first that waits is summed up. The last ``FOLD`` rows
+    are folded in order. Running sums are dealt to buckets, so a resource that
+    all want needs no task of its own.
     """
     d = demands.groupBy("t_id", "resource").agg(F.sum("amount").alias("amount")).join(capacity, "resource", "left")
-    d = saved(d.withColumn("capacity", F.coalesce("capacity", F.lit(0))).withColumn("state", F.lit(None).cast("boolean")), "demands")
-    while True:
+    d = saved(d.select("t_id", "resource", "amount", F.coalesce("capacity", F.lit(0)).alias("capacity"), F.lit(None).cast("boolean").alias("state")), "demands")
+    done, kind = [], dict(d.dtypes)["t_id"]
+    key = pa.int32() if kind == "int" else pa.int64()
+    while d.count() > FOLD:
         sums = {"taken": F.when(F.col("state"), F.col("amount")).otherwise(0), "open": F.when(F.col("state").isNull(), F.col("amount")).otherwise(0)}
         r = running(d, ["resource"], ["t_id"], sums).filter("state IS NULL")
         left = F.col("capacity") - F.col("taken") - F.col("amount")
         out = r.groupBy("t_id").agg(F.bool_and(left - F.col("open") >= 0).alias("fits"), F.bool_or(left < 0).alias("lacks"))
-        out = saved(out.filter("fits OR lacks").select("t_id", F.col("fits").alias("now")), "settled")
-        if out.isEmpty():
-            return d.groupBy("t_id").agg(F.first("state").alias("admitted"))
-        before, d = d, saved(d.join(out, "t_id", "left").withColumn("state", F.coalesce("state", "now")).drop("now"), "demands")
-        discard(before, out)
+        out = saved(out.filter("fits OR lacks").select("t_id", F.col("fits").alias("admitted")), "settled")
+        done.append(out)
+        now = saved(d.join(out, "t_id", "left").withColumn("state", F.coalesce("state", "admitted")).drop("admitted").filter("state IS NULL OR state"), "demands")
+        waits = now.filter("state IS NULL").groupBy("resource").agg(F.min("t_id").alias("first"))
+        later = F.when(F.col("state").isNull() | (F.col("t_id") > F.col("first")), F.col("t_id"))
+        rest = now.join(waits, "resource").groupBy("resource", later.alias("later"), "capacity", "state").agg(F.min("t_id").alias("t_id"), F.sum("amount").alias("amount"))
+        before, d = d, saved(rest.select("t_id", "resource", "amount", "capacity", "state"), "demands")
+        discard(before, now)
+
+    def fold(batches):
+        """The rest in order; demands of requests that are in already are there, too."""
+        wants, settled, left = defaultdict(list), set(), {}
+        for b in batches:
+            for t, resource, amount, most, state in zip(*(c.to_pylist() for c in b.columns)):
+                wants[t].append((resource, amount or 0))
+                left[resource] = most
+                if state:
+                    settled.add(t)
+        out = {}
+        for t in sorted(wants):
+            ok = t in settled or all(left[r] >= x for r, x in wants[t])
+            if t not in settled:
+                out[t] = ok
+            for r, x in wants[t] if ok else ():
+                left[r] -= x
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()).cast(key), pa.array(list(out.values()), pa.bool_())], names=["t_id", "admitted"])
+
+    done.append(saved(d.coalesce(1).mapInArrow(fold, f"t_id {kind}, admitted boolean"), "settled"))
+    discard(d)
+    return reduce(DataFrame.unionByName, done)
 
 
 def lacking(demands: DataFrame, capacity: DataFrame, settled: DataFrame) -> DataFrame:

@@ -164,6 +164,26 @@ def test_auto_regression_against_normal_equations(spark):
     assert len(got) == 6 * len(series)
 
 
+def test_settling_in_rounds_reads_less_each_time(spark, monkeypatch):
+    """The rounds alone, without the last fold, equal the serial fold; what is settled isn't read again."""
+    rng = random.Random(11)
+    demands = [(t, f"r{rng.randrange(9)}", rng.randint(1, 5)) for t in range(1, 150) for _ in range(rng.randint(1, 3))]
+    capacity = [(f"r{i}", rng.randint(0, 90)) for i in range(8)]
+    real, sizes = wl.saved, []
+
+    def saved(df, name):
+        out = real(df, name)
+        sizes.extend([out.count()] if name == "demands" else [])
+        return out
+
+    monkeypatch.setattr(wl, "saved", saved)
+    monkeypatch.setattr(wl, "FOLD", 0)
+    done = wl.settle(spark.createDataFrame(demands, "t_id long, resource string, amount long"), spark.createDataFrame(capacity, "resource string, capacity long"))
+    out, _ = serial_settle(demands, capacity)
+    assert sorted((r.t_id, r.admitted) for r in done.collect()) == sorted(out.items())
+    assert sizes[-1] == 0 and sizes[1] < sizes[0] and sizes == sorted(sizes, reverse=True)
+
+
 def _joined_rows(plan):
     """Rows out of the joins of an executed plan, all told."""
     name = plan.nodeName()
