@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, bucket_count, deal, gather, messages, same_as_previous
+from .blocks import MESSAGE, bucket_count, deal, gather, in_sorted, messages, pack, same_as_previous
 from .common import Hashes, discard, mix, released, saved, shuffle_partitions, slices
 from .words import Words
 from ..operators.components import components
@@ -55,6 +55,8 @@ SKETCH_BITS = 4096
 SPARE = 8
 #: Chunks that a task gathers before it reduces them to stars.
 POSTS = 1 << 19
+#: Bytes of text whose shingles are worked on at once.
+STEP = 1 << 19
 _SEQUENCE = Hashes(0xE7037ED1A0B428DB)
 
 
@@ -192,6 +194,72 @@ def sparse_sketch(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, de
     return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
 
 
+def pack_posts(key: np.ndarray, s: np.ndarray) -> bytes:
+    """A message of chunks: 40 bits of each key, and the sets in runs, the heads marked by bits.
+
+    Besides the bucket, 40 bits tell keys apart: a chance hit costs only work.
+    """
+    head = ~same_as_previous(s)
+    return pack(np.array([len(key)], np.uint32), (key >> np.uint64(32)).astype(np.uint32), (key >> np.uint64(24)).astype(np.uint8), np.packbits(head), s[head])
+
+
+def post_keys(data) -> np.ndarray:
+    """The keys of a message of chunks."""
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    return (np.frombuffer(data, np.uint32, n, 4).astype(np.uint64) << np.uint64(8)) | np.frombuffer(data, np.uint8, n, 4 + 4 * n)
+
+
+def post_sets(data, some: np.ndarray) -> np.ndarray:
+    """The sets of some places of a message of chunks."""
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    bits = -(-n // 8)
+    run = np.cumsum(np.unpackbits(np.frombuffer(data, np.uint8, bits, 4 + 5 * n), count=n), dtype=np.int32) - 1
+    return np.frombuffer(data, np.int64, -1, 4 + 5 * n + bits)[run[some]]
+
+
+def reduce_posts(key: np.ndarray, s: np.ndarray, buckets: int) -> list[tuple[int, int, int, bytes]]:
+    """Messages of chunks ``key`` of sets ``s``: each chunk's least set goes to the chunk's bucket, the others hang on it at once."""
+    by = np.lexsort((s, key))
+    again, ordered = same_as_previous(key[by]), s[by]
+    to = ordered[np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))]
+    edge = to != ordered
+    pairs = np.unique(np.stack([to[edge], ordered[edge]]), axis=1) if edge.any() else np.zeros((2, 0), np.int64)
+    del to, edge, ordered
+    first = np.sort(by[~again])  # in the order of sets, so that a set's chunks are a run
+    del by, again
+    dst = (mix(key[first]) % np.uint64(buckets)).astype(np.int32)
+    at = np.argsort(dst, kind="stable")
+    dst, first = dst[at], first[at]
+    cuts = np.flatnonzero(np.r_[~same_as_previous(dst), True])
+    out = [(int(dst[a]), 0, 0, pack_posts(key[first[a:b]], s[first[a:b]])) for a, b in zip(cuts[:-1], cuts[1:])]
+    return out + deal((mix(pairs[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), 0, 1, pairs[0], pairs[1])
+
+
+def meet(t: pa.Table) -> pa.Table:
+    """A bucket's stars: each chunk's least set and every other one. Sets are read for the chunks of two messages or more only, few of all."""
+    posts = [x.as_buffer() for k, x in zip(t.column("kind").to_pylist(), t.column("data")) if k == 0]
+    key = np.concatenate([np.zeros(0, np.uint64), *map(post_keys, posts)])
+    key.sort()
+    twice = np.unique(key[same_as_previous(key)])
+    del key
+    keys, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for x in posts if len(twice) else ():
+        k = post_keys(x)
+        some = np.flatnonzero(in_sorted(k, twice))
+        if len(some):
+            keys.append(k[some])
+            sets.append(post_sets(x, some))
+    key, c = np.concatenate(keys), np.concatenate(sets)
+    by = np.lexsort((c, key))
+    key, c = key[by], c[by]
+    again = same_as_previous(key)
+    lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(key)))) if len(key) else np.zeros(0, int)
+    edge = again & (c[lead] != c)
+    (a, b), _ = gather(t, 1, np.int64, np.int64)
+    pairs = np.unique(np.stack([np.r_[c[lead][edge], a], np.r_[c[edge], b]]), axis=1)
+    return pa.Table.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+
+
 def parity_sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, bits: int = SKETCH_BITS) -> pa.Array:
     """A row's sketch: bit ``b`` is the parity of its shingles that hash to ``b``; twice as many bits as shingles, a power of two."""
     wide = np.minimum(bits, np.exp2(np.ceil(np.log2(np.maximum(2 * size, 128)))).astype(np.int64))
@@ -310,6 +378,11 @@ def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[int], lis
     return [a for a, _ in links], [b for _, b in links]
 
 
+def by_bucket(posts: DataFrame, buckets: int) -> DataFrame:
+    """Each bucket as a partition: by a hash of their numbers, some tasks would get many buckets, and hold and sort them at once."""
+    return posts.repartitionById(buckets, "dst")
+
+
 def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """The rows whose number in ``column`` is among ``ids`` (one column), and one in seventy of the others.
 
@@ -340,36 +413,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), late).alias("ord"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    buckets = bucket_count(docs, 0.7)
     kind = dict(docs.dtypes)[id_col]
-    chunks_of = sketch if 10 * num >= 9 * den else sparse_sketch
+    dense = 10 * num >= 9 * den
+    chunks_of = sketch if dense else sparse_sketch
+    buckets = bucket_count(docs, 0.7 if dense else 1.4)
 
     @released
     def describe(batches):
-        for t in (x for b in batches for x in slices(b, "text")):
+        for t in (x for b in batches for x in slices(b, "text", STEP)):
             row, h, size = shingle_sets(t.column("text"), shingle)
             s1, s2 = signatures(row, h, size)
             yield pa.RecordBatch.from_arrays([t.column("ord"), t.column("id"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), parity_sketches(row, h, size)], names=["ord", "id", "n", "s1", "s2", "sketch"])
 
     @released
     def post(batches):
-        """A task's stars: of equal sets one posts its chunks; each chunk's least set goes to the chunk's bucket, the others hang on it at once."""
+        """A task's stars: of equal sets one posts its chunks."""
         seen, held, n = set(), [], 0
 
         def reduced():
             key, s = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held])
-            by = np.lexsort((s, key))
-            lead = ~same_as_previous(key[by])
-            to = s[by][np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))]
-            edge = to != s[by]
-            first = np.sort(by[lead])  # in the order of sets, which compresses better
-            k = key[first]  # 48 bits besides the bucket: a chance hit costs only work
-            out = deal((mix(k) % np.uint64(buckets)).astype(np.int32), 0, 0, (k >> np.uint64(32)).astype(np.uint32), (k >> np.uint64(16)).astype(np.uint16), s[first])
-            pairs = np.unique(np.stack([to[edge], s[by][edge]]), axis=1) if edge.any() else np.zeros((2, 0), np.int64)
-            out += deal((mix(pairs[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), 0, 1, pairs[0], pairs[1])
-            return messages(out).to_batches()
-
-        for t in (x for b in batches for x in slices(b, "text")):
+            held.clear()
+            return messages(reduce_posts(key, s, buckets)).to_batches()
+
+        for t in (x for b in batches for x in slices(b, "text", STEP)):
             row, h, size = shingle_sets(t.column("text"), shingle)
             s1, s2 = signatures(row, h, size)
             once = np.zeros(len(size), bool)
@@ -384,27 +450,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n += len(key)
             if n >= POSTS:
                 yield from reduced()
-                held, n = [], 0
+                n = 0
         if held:
             yield from reduced()
 
-    @released
-    def meet(t: pa.Table) -> pa.Table:
-        (high, low, c), _ = gather(t, 0, np.uint32, np.uint16, np.int64)
-        key = (high.astype(np.uint64) << np.uint64(16)) | low
-        by = np.lexsort((c, key))
-        key, c = key[by], c[by]
-        again = same_as_previous(key)
-        lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(key)))) if len(key) else np.zeros(0, int)
-        edge = again & (c[lead] != c)
-        (a, b), _ = gather(t, 1, np.int64, np.int64)
-        pairs = np.unique(np.stack([np.r_[c[lead][edge], a], np.r_[c[edge], b]]), axis=1)
-        return pa.Table.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
-
     described = saved(texts.mapInArrow(describe, f"ord long, id {kind}, n long, s1 long, s2 long, sketch binary"), "sets")
     classes = described.filter("n > 0").groupBy("s1", "s2").agg(F.min("ord").alias("rep"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
     classes = saved(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    groups = components(texts.select("text").mapInArrow(post, MESSAGE).groupBy("dst").applyInArrow(meet, "a long, b long"), "candidates")
+    posts = by_bucket(texts.select("text").mapInArrow(post, MESSAGE), buckets)
+    groups = components(posts.groupBy("dst").applyInArrow(released(meet), "a long, b long"), "candidates")
 
     # Written, as ``least`` below, so that the joins can split a hot group. Sets that agree in 64 bits only are candidates more.
     members = saved(groups.join(classes, groups["v"] == classes["s1"]).select("root", "c", "s1", "s2", "rep", "copies", "n"), "members")
@@ -414,7 +468,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @released
     def sets(batches):
-        for t in (x for b in batches for x in slices(b, "text")):
+        for t in (x for b in batches for x in slices(b, "text", STEP)):
             row, h, size = shingle_sets(t.column("text"), shingle)
             s1, s2 = signatures(row, h, size)
             good = (np.asarray(t.column("s1"), np.int64) == s1) & (np.asarray(t.column("s2"), np.int64) == s2)  # rows that repeat an id may hold another text
@@ -471,7 +525,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = components(near.select("a", "b"), "near")
     wanted = saved(near.withColumnRenamed("v", "c").join(members.drop("root", "n"), "c"), "wanted")
     discard(near, members, sketches)
-    chosen = among(texts.select("ord", "text"), "ord", wanted.select("rep")).join(wanted, F.col("ord") == F.col("rep")).select("c", "s1", "s2", "root", "copies", "text")
+    # A merge join, else two Python functions run in one stage, and the executor keeps twice as many workers.
+    chosen = among(texts.select("ord", "text"), "ord", wanted.select("rep")).join(wanted.hint("merge"), F.col("ord") == F.col("rep")).select("c", "s1", "s2", "root", "copies", "text")
     prepared = saved(chosen.mapInArrow(sets, "c long, root long, copies long, n long, data binary"), "shingles")
 
     @released
